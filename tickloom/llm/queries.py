@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import langid
+from tickloom.llm import bpe, langid, quality
 from tickloom.llm.common import documents
 
 
@@ -15,6 +15,8 @@ def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": _over_documents(quality.op2_quality_rules),
+    "op3_byte_bpe": _over_documents(bpe.op3_byte_bpe),
     "op9_language_id": _over_documents(langid.op9_language_id),
 }
 
