@@ -41,7 +41,7 @@ _PATTERN = re.compile(
     |(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))
     |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
     |(?P<date>(?<![\d./-])(?:\d{4}([-/.])\d{2}\7\d{2}|\d{2}([-/.])\d{2}\8\d{4})(?![\d/-]|\.\d))
-    |(?P<card>(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d))
+    |(?P<card>(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\10\d{4}\10\d{1,7}|\d{4}([ -])\d{6}\11\d{4,5})(?!\d))
     |(?P<phone>(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d))""",
     re.X,
 )

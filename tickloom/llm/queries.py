@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import audio, bpe, langid, licences, mixing, pii, quality
+from tickloom.llm import audio, bpe, huffman, langid, licences, mixing, pii, quality
 from tickloom.llm.common import documents
 
 
@@ -17,6 +17,7 @@ def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": _over_documents(quality.op2_quality_rules),
     "op3_byte_bpe": _over_documents(bpe.op3_byte_bpe),
+    "op4_huffman_ids": _over_documents(huffman.op4_huffman_ids),
     "op5_mix_sources": _over_documents(mixing.op5_mix_sources),
     "op6_pii_pseudonyms": _over_documents(pii.op6_pii_pseudonyms),
     "op7_licence_scan": _over_documents(licences.op7_licence_scan),
