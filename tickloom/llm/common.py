@@ -113,6 +113,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_BYTE_VALUE = np.random.default_rng(19).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BASE = np.uint64(_MIX[0])
+_BASE_INVERSE = np.uint64(pow(_MIX[0], -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]))
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [begin, end) of ``data``: equal spans, equal hashes, wherever they stand."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[data] * _powers(_BASE, len(data)))])
+        return mix64((prefix[end] - prefix[begin]) * _powers(_BASE_INVERSE, len(data))[begin])
+
+
 #: ASCII white space of WORD as a table for bytes.translate and lookups.
 SPACE_BYTES = bytes([9, 10, 11, 12, 13, 32])
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import audio, bpe, huffman, langid, lattice, licences, mixing, pii, quality
+from tickloom.llm import audio, bpe, huffman, jaccard, langid, lattice, licences, mixing, pii, quality
 from tickloom.llm.common import documents
 
 
@@ -16,6 +16,7 @@ def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_score": _over_documents(lattice.op1_lattice_score),
+    "op10_jaccard_join": _over_documents(jaccard.op10_jaccard_join),
     "op2_quality_rules": _over_documents(quality.op2_quality_rules),
     "op3_byte_bpe": _over_documents(bpe.op3_byte_bpe),
     "op4_huffman_ids": _over_documents(huffman.op4_huffman_ids),
