@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tickloom.plans import bar_queries, indicator_queries
+
+_ALL = (bar_queries.R, indicator_queries.R)
+QUERIES: dict = {name: q for r in _ALL for name, q in r.queries.items()}
+ORACLE: dict = {name: q for r in _ALL for name, q in r.oracle.items()}
