@@ -43,7 +43,7 @@ def test_round_trip():
 
 def test_ids_are_the_librarys(spark):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    odd = ["", " ", "Hello  WORLD\n\nit's <|endoftext|>x y<|startoftext|> z", "ä é b  c", "ẛ̣ 'S don't\t'll", "x" * 3000, "\x1c a \x85 b", "İstanbul DŽ ΑΣ Σ"]
+    odd = ["", " ", "Hello  WORLD\n\nit's <|endoftext|>x y<|startoftext|> z", "ä é b  c", "ẛ̣ 'S don't\t'll", "x" * 3000, "\x1c a \x85 b", "İstanbul DŽ ΑΣ Σ", "a.b. C,, D!!! ### ..x.. é. ١. x<|endoftext|>. <|endoftext|>", "it's. THE'S, O''re'. (a) [b]; e\u0301. x\u0338. <\u0338 a<\u0338"]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     extra = [(None, None)] + [(10_000 + i, x) for i, x in enumerate(odd)] + [(5, "same"), (5, "same")]
     docs = docs.union(spark.createDataFrame(extra, docs.schema))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import map_batches, steps, stored
 
 MAX_BITS, BLOCK_IDS, SHARD_IDS, END_ID = 16, 256, 1 << 19, 1
-CACHE_WORDS = 500_000
+CACHE_WORDS = 700_000
 MAGIC = b"TLHF\1\0\0\0"
 
 
@@ -167,8 +167,16 @@ _NO_SPACE = "\x1c\x1d\x1e\x1f"
 _BLANK = re.compile(r"[ \t-\r]+")
 
 
+#: Marks that end a word as a piece of their own, whatever stands before; fixed values.
+_MARKS = ".,;:!?#*$%&|+=()[]{}\"/"
+
+
 class WordTokenizer:
-    """Ids of texts by the tokenizers library, word by word where the vocabulary drops white space."""
+    """Ids of texts by the tokenizers library, word by word where the vocabulary drops white space.
+
+    A new word goes to the library without its closing marks and, if ASCII, in lower case (the
+    vocabulary splits marks off and has no case); many new words make one call, told apart by offsets.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -176,18 +184,42 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        got = self.library.encode(" ".join(words), add_special_tokens=False)
+        if not got.ids:
+            return [b""] * len(words)
+        size = np.array([len(w) + 1 for w in words])
+        cuts = np.searchsorted(np.array(got.offsets, np.int64)[:, 0], np.cumsum(size) - size).tolist()
+        ids = np.array(got.ids, "<u4").tobytes()
+        return [ids[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids) // 4], strict=True)]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        parts = {}
+        for w in words:
+            core = w if "<|" in w else w.rstrip(_MARKS)
+            if not core or not core[-1].isalnum():
+                core = w
+            parts[w] = (core.lower() if core.isascii() and "<|" not in core else core, w[len(core) :])
+        cores = self.cores
+        new = list({x for p in parts.values() for x in p if x and x not in cores})
+        if len(cores) + len(new) > CACHE_WORDS:
+            cores.clear()
+            new = list({x for p in parts.values() for x in p if x})
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            cores.update(zip(part, self._ask(part), strict=True))
+        return {w: cores[a] + cores[b] if b else cores[a] for w, (a, b) in parts.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         cut = [_BLANK.split(t) if any(c in t for c in _NO_SPACE) else t.split() for t in texts]
         known = self.known
         found = [list(map(known.get, words)) for words in cut]
-        new = list({w for words, got in zip(cut, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None})
-        fresh = {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[w] = np.array(e.ids, "<u4").tobytes()
+        new = {w for words, got in zip(cut, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None and w}
+        fresh = self._learn(list(new)) if new else {}
+        fresh[""] = b""
         if len(known) + len(fresh) > CACHE_WORDS:
             known.clear()
         known.update(fresh)
