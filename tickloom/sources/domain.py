@@ -34,10 +34,10 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """account, instrument, side (1 buy, -1 sell), qty, px, commission, ts, order_id, line; instruments are folded to 20 an account, so that positions turn over."""
     li = table(spark, sf_dir, "lineitem")
-    px = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    px = F.col("l_extendedprice") / F.col("l_quantity")
     return li.select(
         F.col("l_suppkey").alias("account"), (F.col("l_partkey") % 20).alias("instrument"), F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(-1).alias("side"),
-        F.col("l_quantity").alias("qty"), px.alias("px"), F.round(F.col("l_tax") * px * F.col("l_quantity"), 4).alias("commission"),
+        F.col("l_quantity").alias("qty"), px.alias("px"), (F.col("l_tax") * F.col("l_extendedprice")).alias("commission"),
         nanos(F.col("l_shipdate")).alias("ts"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("seq_px"),
     )
 
@@ -62,7 +62,7 @@ QUOTES_SQL = TRADES_SQL + """, quotes AS (
   SELECT instrument, price AS bid, price + 0.01 * (1 + size) AS ask, size + 1 AS bid_size, 100 - size AS ask_size, ts, seq FROM trades)"""
 FILLS_SQL = """fills AS (
   SELECT l_suppkey AS account, l_partkey % 20 AS instrument, CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE -1 END AS side, l_quantity AS qty,
-         round(l_extendedprice / l_quantity, 2) AS px, round(l_tax * round(l_extendedprice / l_quantity, 2) * l_quantity, 4) AS commission,
+         l_extendedprice / l_quantity AS px, l_tax * l_extendedprice AS commission,
          epoch_us(l_shipdate) * 1000 AS ts, l_orderkey AS order_id, l_linenumber AS line, l_extendedprice AS seq_px FROM lineitem)"""
 DELTAS_SQL = """deltas AS (
   SELECT user_id % 10 AS instrument, CASE event_type WHEN 'error' THEN 'DELETE' WHEN 'click' THEN 'UPDATE' ELSE 'ADD' END AS action,
