@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step handles; it bounds a Python worker's memory.
 STEP_BYTES = 2 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -51,10 +52,18 @@ atexit.register(_forget)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends here and survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read again: lineage ends here and survives lost executors.
+
+    Nothing after the write reads its shuffles again, so their files are removed as soon as it is done.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _MADE.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

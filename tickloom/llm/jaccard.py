@@ -350,12 +350,19 @@ def _shingles(text: bytes) -> set:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those that link, by their words; texts: sid, n, text, a row a set."""
-    other = texts.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb"))
-    own = texts.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta"))
-    near = F.col("na") * 100 >= PERCENT * F.col("nb")
-    near &= F.col("nb") * 100 >= PERCENT * F.col("na")
-    both = pairs.join(other, "b").join(own, "a").where(near).select("a", "b", "ta", "tb")
+    """Of the pairs (a, b), those that link, by their words; texts: sid, n, text, a row a set.
+
+    Sizes that can't link drop out first, and only texts of what is left are moved.
+    """
+    size = texts.select("sid", "n")
+    na, nb = (size.toDF(x, f"n{x}") for x in ("a", "b"))
+    close = (F.col("na") * 100 >= PERCENT * F.col("nb")) & (F.col("nb") * 100 >= PERCENT * F.col("na"))
+    pairs = stored(pairs.join(nb, "b").join(na, "a").where(close).select("a", "b"), "pairs")
+    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
+    texts = texts.join(wanted, F.col("sid") == F.col("w"), "left_semi")
+    other = texts.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
+    own = texts.select(F.col("sid").alias("a"), F.col("text").alias("ta"))
+    both = pairs.join(other, "b").join(own, "a").select("a", "b", "ta", "tb")
 
     def run(batches):
         last, left = None, set()
