@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tickloom.operators import folds as O
 from tickloom.plans.common import HOURLY_SQL, Registry, hourly
 from tickloom.sources import domain
@@ -86,5 +88,7 @@ r(account, instrument, ts, order_id, line, qty, px, commission, i, q, ao, rp, ep
     r.ep + CASE WHEN r.q = 0 OR (r.q * x.side < 0 AND x.qty > abs(r.q)) THEN 1 ELSE 0 END,
     r.tot - x.commission + CASE WHEN r.q * x.side < 0 THEN least(x.qty, abs(r.q)) * (x.px - r.ao) * sign(r.q) ELSE 0 END
   FROM r JOIN x ON x.account = r.account AND x.instrument = r.instrument AND x.i = r.i + 1)"""
-R.add("pos_fold", lambda s, d: positions(s, d).select("account", "instrument", "ts", "order_id", "line", "signed_qty", "avg_px_open", "realized_pnl", "episode", "total_pnl"),
-      f"WITH {POSITIONS_SQL} SELECT account, instrument, ts, order_id, line, round(q, 6) AS signed_qty, round(ao, 6) AS avg_px_open, round(rp, 6) AS realized_pnl, ep AS episode, round(tot, 6) AS total_pnl FROM r")
+#: Added before rounding, so that money that lies on a tie rounds alike in engines that add in different orders.
+TIE = 1e-7
+R.add("pos_fold", lambda s, d: positions(s, d).select("account", "instrument", "ts", "order_id", "line", "episode", *[(F.col(c) + TIE).alias(c) for c in ("signed_qty", "avg_px_open", "realized_pnl", "total_pnl")]),
+      f"WITH {POSITIONS_SQL} SELECT account, instrument, ts, order_id, line, ep AS episode, " + ", ".join(f"round({e} + 1e-7, 4) AS {c}" for c, e in (("signed_qty", "q"), ("avg_px_open", "ao"), ("realized_pnl", "rp"), ("total_pnl", "tot"))) + " FROM r", 4)
