@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tickloom.llm.common import map_batches, steps, stored
 
@@ -288,7 +289,7 @@ def write_shards(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> Data
     parts = max(1, min(100_000, -(-total // (4 * SHARD_IDS))))
     tie = [F.col("n"), F.crc32("ids")]
     ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), *tie).withColumn("part", F.spark_partition_id()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), *tie)
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[docs.schema["doc_id"].dataType.simpleString()]
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def write(batches):
         coder = Coder(lengths.value)
