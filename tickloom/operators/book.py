@@ -52,7 +52,7 @@ def top(levels_: DataFrame) -> DataFrame:
 def depth(levels_: DataFrame, k: int) -> DataFrame:
     """The best k levels a side, numbered from 1."""
     w = W.partitionBy("instrument", "side").orderBy(_best_first())
-    return levels_.withColumn("level", F.row_number().over(w)).where(F.col("level") <= k)
+    return levels_.withColumn("level", F.row_number().over(w).cast("long")).where(F.col("level") <= k)
 
 
 def grouped(levels_: DataFrame, size: float, k: int | None = None) -> DataFrame:

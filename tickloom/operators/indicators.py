@@ -200,7 +200,7 @@ def swings(df: DataFrame, n: int) -> DataFrame:
     before = F.last("_flag", ignorenulls=True).over(BARS.base.rowsBetween(-(1 << 30), -1))
     df = df.withColumn("changed", F.coalesce(F.col("_flag") == -before, F.lit(False)))
     df = df.withColumn("high_price", F.coalesce(BARS.held(F.when(F.col("_h"), F.col("high"))), F.lit(0.0))).withColumn("low_price", F.coalesce(BARS.held(F.when(F.col("_l"), F.col("low"))), F.lit(0.0)))
-    df = df.withColumn("since_high", F.col("_i") - F.coalesce(BARS.held(F.when(F.col("_h"), F.col("_i"))), F.lit(0)))
+    df = df.withColumn("since_high", F.col("_i") - F.coalesce(BARS.held(F.when(F.col("_h"), F.col("_i"))), F.lit(0).cast("long")))
     df = df.withColumn("since_low", F.col("_i") - F.coalesce(BARS.held(F.when(F.col("_l"), F.col("_i"))), F.lit(0)))
     df = df.withColumn("ready", (F.col("high_price") != 0) & (F.col("low_price") != 0)).withColumn("_was", F.coalesce(BARS.lag("ready"), F.lit(False)))
     df = df.withColumn("length", F.when(F.col("_was"), F.col("high_price") - F.col("low_price")).otherwise(0.0))

@@ -21,17 +21,23 @@ def merged(streams: dict[str, DataFrame], append: dict[str, bool] | None = None)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
-def first_triggers(orders: DataFrame, prices: DataFrame) -> DataFrame:
+def first_triggers(orders: DataFrame, prices: DataFrame, bucket: int = 3600 * 10**9) -> DataFrame:
     """The first price after each order that triggers it: limit buy at or below, limit sell at or above; stops the other way.
 
-    One union by instrument and a window, no range join: rows that could trigger an order carry the
-    running extreme from the order on, found by a self-contained sort per instrument and order.
+    Prices are cut into time buckets. An order is matched with its own bucket's prices, and with
+    those of the first later bucket whose extreme reaches it, found among the buckets' extremes; it
+    never meets all prices of its instrument.
     """
-    hit = F.when((F.col("kind") == "LIMIT") == (F.col("side") == 1), F.col("px") <= F.col("price")).otherwise(F.col("px") >= F.col("price"))
-    p = prices.select("instrument", F.col("ts").alias("pts"), F.col("seq").alias("pseq"), F.col("price").alias("px"))
-    j = orders.join(p, "instrument").where((F.col("pts") > F.col("ts")) & hit)
-    at = F.struct("pts", "pseq")
-    return j.groupBy("instrument", "order_id").agg(F.min("pts").alias("trigger_ts"), F.min_by("px", at).alias("trigger_px"))
+    falls = (F.col("kind") == "LIMIT") == (F.col("side") == 1)
+    p = prices.select("instrument", F.expr(f"ts div {bucket}").alias("bucket"), F.col("ts").alias("pts"), F.col("seq").alias("pseq"), F.col("price").alias("px"))
+    reach = p.groupBy("instrument", F.col("bucket").alias("later")).agg(F.min("px").alias("low"), F.max("px").alias("high"))
+    o = orders.withColumn("bucket", F.expr(f"ts div {bucket}"))
+    keys = ["instrument", "order_id", "ts", "side", "kind", "price"]
+    far = o.join(reach, "instrument").where((F.col("later") > F.col("bucket")) & F.when(falls, F.col("low") <= F.col("price")).otherwise(F.col("high") >= F.col("price")))
+    places = o.select(*keys, "bucket").union(far.groupBy(*keys).agg(F.min("later").alias("bucket")))
+    hit = F.when(falls, F.col("px") <= F.col("price")).otherwise(F.col("px") >= F.col("price"))
+    j = places.join(p, ["instrument", "bucket"]).where((F.col("pts") > F.col("ts")) & hit)
+    return j.groupBy("instrument", "order_id").agg(F.min("pts").alias("trigger_ts"), F.min_by("px", F.struct("pts", "pseq")).alias("trigger_px"))
 
 
 def throttled(rows: DataFrame, limit: int, interval: int, key: str) -> DataFrame:

@@ -32,7 +32,7 @@ class Series:
         return F.lag(c, n).over(self.base)
 
     def number(self) -> Column:
-        return F.row_number().over(self.base)
+        return F.row_number().over(self.base).cast("long")
 
     def mean(self, c, n: int) -> Column:
         return F.avg(c).over(self.last(n))

@@ -33,12 +33,12 @@ R.add("catalog_missing_intervals", lambda s, d: catalog.missing(catalog.coverage
       f"""WITH {T}, {_FILES}, c AS (SELECT instrument, a, b FROM files WHERE b >= {JAN10} AND a <= {JAN20} UNION ALL SELECT DISTINCT instrument, {JAN20} + 1, {JAN20} + 1 FROM files),
 g AS (SELECT instrument, greatest(coalesce(max(b) OVER (PARTITION BY instrument ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {JAN10} - 1), {JAN10} - 1) + 1 AS start, a - 1 AS "end" FROM c)
 SELECT instrument, start, "end" FROM g WHERE start <= "end\"""")
-R.add("catalog_merge_streams", lambda s, d: replay.merged({"trade": domain.trades(s, d).select("ts", "seq", "price"), "quote": domain.quotes(s, d).select("ts", "seq", "bid")}, {"quote": False}).withColumn("place", F.row_number().over(W.partitionBy(F.expr(f"ts div {bars.DAY}")).orderBy("ts", "priority", "seq"))).select("type", "ts", "seq", "priority", "place"),
+R.add("catalog_merge_streams", lambda s, d: replay.merged({"trade": domain.trades(s, d).select("ts", "seq", "price"), "quote": domain.quotes(s, d).select("ts", "seq", "bid")}, {"quote": False}).withColumn("place", F.row_number().over(W.partitionBy(F.expr(f"ts div {bars.DAY}")).orderBy("ts", "priority", "seq")).cast("long")).select("type", "ts", "seq", "priority", "place"),
       f"WITH {Q}, m AS (SELECT 'trade' AS type, ts, seq, 1 AS priority FROM trades UNION ALL SELECT 'quote', ts, seq, -2 FROM quotes) SELECT type, ts, seq, priority, row_number() OVER (PARTITION BY ts // {bars.DAY} ORDER BY ts, priority, seq) AS place FROM m")
 R.add("catalog_latest_client", lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("client")), "SELECT o_custkey, last(o_orderpriority ORDER BY o_orderdate, o_orderkey) AS client FROM orders GROUP BY 1")
 R.add("catalog_continuous_runs", lambda s, d: windows.islands(domain.trades(s, d).where("price < 60"), "instrument", "seq"),
       f"WITH {T}, x AS (SELECT instrument, seq, seq - row_number() OVER (PARTITION BY instrument ORDER BY seq) AS run FROM trades WHERE price < 60) SELECT instrument, min(seq) AS first, max(seq) AS last, count(*) AS length FROM x GROUP BY instrument, run")
-R.add("catalog_latest_3", lambda s, d: domain.trades(s, d).withColumn("index", F.row_number().over(W.partitionBy("instrument").orderBy(F.desc("ts"), F.desc("seq"))) - 1).where(F.col("index") < 3).select("instrument", "index", "seq", "price"),
+R.add("catalog_latest_3", lambda s, d: domain.trades(s, d).withColumn("index", F.row_number().over(W.partitionBy("instrument").orderBy(F.desc("ts"), F.desc("seq"))).cast("long") - 1).where(F.col("index") < 3).select("instrument", "index", "seq", "price"),
       f"WITH {T} SELECT instrument, row_number() OVER w - 1 AS index, seq, round(price, 6) AS price FROM trades WINDOW w AS (PARTITION BY instrument ORDER BY ts DESC, seq DESC) QUALIFY row_number() OVER w <= 3")
 
 # wrangling -------------------------------------------------------------------------------------
