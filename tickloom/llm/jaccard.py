@@ -46,6 +46,8 @@ PERCENT = 85
 FREQUENT = 64
 #: Signatures a partition of the index holds, about; documents of one packed block.
 PARTITION_ROWS, BLOCK_DOCS = 1_500_000, 4096
+#: Shingles from which a sketch takes 32 bits for each.
+LARGE = 2048
 #: What verifying a chance pair costs, in signatures.
 PAIR_COST = 40
 _SPACE = np.zeros(256, bool)
@@ -349,36 +351,99 @@ def _shingles(text: bytes) -> set:
     return set(zip(*(words[k:] for k in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else {tuple(words)} if words else set()
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """Low bits of a set's hashes, ascending, low bytes first: 16 bits a shingle, 32 for large sets."""
+    if len(shingles) > LARGE:
+        return b"L" + np.sort((shingles & np.uint64(0xFFFFFFFF)).astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return b"S" + np.sort((shingles & np.uint64(0xFFFF)).astype("<u2")).view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _marks(sketch: bytes, small: bool) -> np.ndarray:
+    """A sketch's values, equal ones told apart by their turn, ascending."""
+    width, kind = (4, "<u4") if sketch[:1] == b"L" else (2, "<u2")
+    x = np.ascontiguousarray(np.frombuffer(sketch, np.uint8, offset=1).reshape(width, -1).T).view(kind).ravel().astype(np.int64)
+    if small and width == 4:
+        x = np.sort(x & 0xFFFF)
+    return (x << 20) | np.minimum(np.arange(len(x)) - np.searchsorted(x, x), (1 << 20) - 1)
+
+
+def _may_link(a: bytes, b: bytes, held: dict) -> bool:
+    """False only if the sets can't link: equal values bound the intersection from above."""
+    small = a[:1] != b[:1] or a[:1] == b"S"
+    if held.get("of") != (a, small):
+        held["of"], held["marks"] = (a, small), _marks(a, small)
+    x, y = held["marks"], _marks(b, small)
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def with_sketches(texts: DataFrame) -> DataFrame:
+    """sid, n, text and the sketch of each set."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ts = utf8(batch.column(2))
+            out = [_sketch(x) for s in steps(ts) for x in shingle_sets(ts[s])]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["sid", "n", "text", "sketch"])
+
+        return step
+
+    return map_batches(texts, make, "sid long, n long, text string, sketch binary")
+
+
+def _joined(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """The pairs with a column of both sets; only what they need of it is moved."""
+    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
+    own = texts.select("sid", column).join(wanted, F.col("sid") == F.col("w"), "left_semi")
+    left, right = own.toDF("a", "xa"), own.toDF("b", "xb")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "xa", "xb")
+
+
+def _filtered(pairs: DataFrame, make) -> DataFrame:
+    """Pairs (a, b, xa, xb) for which the task's function of (a, xa, xb) holds."""
+
+    def run(batches):
+        holds = make()
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            xa, xb = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
+            keep = [i for i in range(len(a)) if holds(a[i], xa[i], xb[i])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those that link, by their words; texts: sid, n, text, a row a set.
+    """Of the pairs (a, b), those that link; texts: sid, n, text, sketch, a row a set.
 
-    Sizes that can't link drop out first, and only texts of what is left are moved.
+    Sizes that can't link drop out first, then pairs whose sketches bound the intersection too
+    low; what is left is decided on the words.
     """
     size = texts.select("sid", "n")
     na, nb = (size.toDF(x, f"n{x}") for x in ("a", "b"))
     close = (F.col("na") * 100 >= PERCENT * F.col("nb")) & (F.col("nb") * 100 >= PERCENT * F.col("na"))
     pairs = stored(pairs.join(nb, "b").join(na, "a").where(close).select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-    texts = texts.join(wanted, F.col("sid") == F.col("w"), "left_semi")
-    other = texts.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
-    own = texts.select(F.col("sid").alias("a"), F.col("text").alias("ta"))
-    both = pairs.join(other, "b").join(own, "a").select("a", "b", "ta", "tb")
 
-    def run(batches):
-        last, left = None, set()
-        for batch in batches:
-            a, b, ta, tb = batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3))
-            keep = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, left = a[i], _shingles(ta[i])
-                right = _shingles(tb[i])
-                both = len(left & right)
-                if 100 * both >= PERCENT * (len(left) + len(right) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+    def by_sketch():
+        held: dict = {}
+        return lambda a, xa, xb: _may_link(xa, xb, held)
+
+    pairs = stored(_filtered(_joined(pairs, texts, "sketch"), by_sketch), "pairs")
+
+    def by_words():
+        held: dict = {}
+
+        def holds(a, xa, xb):
+            if held.get("a") != a:
+                held["a"], held["set"] = a, _shingles(xa)
+            left, right = held["set"], _shingles(xb)
+            both = len(left & right)
+            return 100 * both >= PERCENT * (len(left) + len(right) - both)
+
+        return holds
 
-    return both.mapInArrow(run, "a long, b long")
+    return _filtered(_joined(pairs, texts, "text"), by_words)
 
 
 def _with_component(rows: DataFrame, comps: DataFrame, key: str, name: str) -> DataFrame:
@@ -418,7 +483,7 @@ def linked_components(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     rep = rep.select("sid", "n", F.col("r.doc_id").alias("rid"), F.col("r.crc").alias("rcrc"), F.col("r.len").alias("rlen"))
     own = docs.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), F.octet_length("text").alias("len"), "text").where("text IS NOT NULL")
     same = F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("crc") == F.col("rcrc")) & (F.col("len") == F.col("rlen"))
-    texts = stored(own.join(rep, same).select("sid", "n", "text").dropDuplicates(["sid"]), "near-texts")
+    texts = stored(with_sketches(own.join(rep, same).select("sid", "n", "text").dropDuplicates(["sid"])), "near-texts")
 
     nearest = stars.groupBy("b").agg(F.min("a").alias("a"))
     links = stored(verified(nearest.select("a", "b"), texts), "links")
