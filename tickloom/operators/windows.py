@@ -13,7 +13,12 @@ class Series:
     def __init__(self, key: str | list[str], *order: str):
         if not order:
             raise ValueError("a total order is needed")
-        self.base = W.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*order)
+        self.key, self.order = ([key] if isinstance(key, str) else key), order
+
+    @property
+    def base(self) -> WindowSpec:
+        """Made when it is used: columns need a session."""
+        return W.partitionBy(*self.key).orderBy(*self.order)
 
     def last(self, n: int) -> WindowSpec:
         """This row and the n - 1 before it."""
