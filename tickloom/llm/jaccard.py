@@ -14,8 +14,9 @@ whose frequent signatures (more than FREQUENT sets) weigh e at most leaves those
 
 Signatures travel in packed blocks, sorted and delta-coded. A bucket never emits its pairs: its
 smallest set (of the band itself) is paired with the others, those pairs are verified on the
-words, components are formed, and only where a bucket still holds several components are the
-pairs across them verified, each smaller component against the rest. Nothing is capped.
+words, components are formed; sets outside a bucket's largest component are paired with its
+best linked set, and only where a bucket then still holds several components are the pairs
+across them verified, each smaller component against the rest. Nothing is capped.
 
 Sets are known by a 64-bit hash of their shingles' hashes, so exact copies meet first, whatever
 their number. Texts are moved only for sets that share a bucket.
@@ -46,6 +47,8 @@ PERCENT = 85
 FREQUENT = 64
 #: Signatures a partition of the index holds, about; documents of one packed block.
 PARTITION_ROWS, BLOCK_DOCS = 1_500_000, 4096
+#: Rounds in which a bucket's best linked set gathers others before all pairs across components are looked at.
+CENTRE_ROUNDS = 3
 #: Shingles from which a sketch takes 32 bits for each.
 LARGE = 2048
 #: What verifying a chance pair costs, in signatures.
@@ -451,6 +454,14 @@ def _with_component(rows: DataFrame, comps: DataFrame, key: str, name: str) -> D
     return rows.join(c, F.col(key) == F.col(f"_{name}"), "left").withColumn(name, F.coalesce(name, key)).drop(f"_{name}")
 
 
+def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their own and the largest one (comp, main)."""
+    placed = stored(_with_component(members, comps, "sid", "comp"), "placed")
+    share = placed.groupBy("kind", "key", "comp").agg(F.count("*").alias("n"))
+    main = share.groupBy("kind", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("kind", "key", "main")
+    return stored(placed.join(main, ["kind", "key"]), "mixed")
+
+
 def linked_components(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, sid and cid (the set's component) of every document."""
     sets = stored(described(docs), "sets")
@@ -493,15 +504,30 @@ def linked_components(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     links = stored(links.union(verified(rest.select("a", "b"), texts)), "links")
     comps = stored(components(links.toDF("u", "v")), "components")
 
-    # buckets that still hold several components: their smaller components against all others
-    placed = stored(_with_component(members, comps, "sid", "comp"), "placed")
-    share = placed.groupBy("kind", "key", "comp").agg(F.count("*").alias("n"))
-    main = share.groupBy("kind", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("kind", "key", "main")
-    mixed = placed.join(main, ["kind", "key"])
+    tried = stored(stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "tried")
+    # buckets that still hold several components: those outside the largest one against its best linked set, while that joins some
+    for _ in range(CENTRE_ROUNDS):
+        mixed = _mixed(members, comps)
+        ends = links.select(F.col("a").alias("d")).union(links.select("b"))
+        degree = ends.groupBy("d").agg(F.count("*").alias("degree"))
+        inner = mixed.where("comp = main").join(degree, F.col("sid") == F.col("d"), "left")
+        best = F.struct((~F.col("upper")).alias("lower"), F.coalesce("degree", F.lit(0)).alias("degree"), "sid")
+        hub = inner.groupBy("kind", "key").agg(F.max(best).alias("hub"))
+        spokes = mixed.where("comp <> main").join(hub, ["kind", "key"]).where("hub.lower OR NOT upper")
+        spokes = spokes.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
+        spokes = stored(spokes.join(tried, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "spokes")
+        more = stored(verified(spokes, texts), "links")
+        if not more.limit(1).count():
+            break
+        tried = stored(tried.union(spokes.toDF("x", "y")), "tried")
+        links = stored(links.union(more), "links")
+        comps = stored(components(links.toDF("u", "v")), "components")
+
+    # what is left: the smaller components of a bucket against all others
+    mixed = _mixed(members, comps)
     lesser = mixed.where("comp <> main").select("kind", "key", F.col("sid").alias("a"), F.col("upper").alias("ua"), F.col("comp").alias("ca"))
     across = mixed.join(lesser, ["kind", "key"]).where("comp <> ca AND NOT (upper AND ua) AND (comp = main OR sid > a)")
     across = across.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     across = across.join(tried, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
     more = stored(verified(across, texts), "links")
     if more.limit(1).count():
