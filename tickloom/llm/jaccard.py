@@ -49,8 +49,6 @@ FREQUENT = 64
 PARTITION_ROWS, BLOCK_DOCS = 1_500_000, 4096
 #: Rounds in which a bucket's best linked set gathers others before all pairs across components are looked at.
 CENTRE_ROUNDS = 3
-#: Shingles from which a sketch takes 32 bits for each.
-LARGE = 2048
 #: What verifying a chance pair costs, in signatures.
 PAIR_COST = 40
 _SPACE = np.zeros(256, bool)
@@ -355,30 +353,24 @@ def _shingles(text: bytes) -> set:
 
 
 def _sketch(shingles: np.ndarray) -> bytes:
-    """Low bits of a set's hashes, ascending, low bytes first: 16 bits a shingle, 32 for large sets."""
-    if len(shingles) > LARGE:
-        return b"L" + np.sort((shingles & np.uint64(0xFFFFFFFF)).astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
-    return b"S" + np.sort((shingles & np.uint64(0xFFFF)).astype("<u2")).view(np.uint8).reshape(-1, 2).T.tobytes()
+    """Parities of how many shingles fall in each of 64 buckets or more (a power of two, about one a shingle)."""
+    buckets = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _marks(sketch: bytes, small: bool) -> np.ndarray:
-    """A sketch's values, equal ones told apart by their turn, ascending."""
-    width, kind = (4, "<u4") if sketch[:1] == b"L" else (2, "<u2")
-    x = np.ascontiguousarray(np.frombuffer(sketch, np.uint8, offset=1).reshape(width, -1).T).view(kind).ravel().astype(np.int64)
-    if small and width == 4:
-        x = np.sort(x & 0xFFFF)
-    return (x << 20) | np.minimum(np.arange(len(x)) - np.searchsorted(x, x), (1 << 20) - 1)
+def _may_link(a: bytes, b: bytes, sizes: int) -> bool:
+    """False only if the sets can't link: a member of the symmetric difference flips one parity, so parities that differ bound it from below.
 
-
-def _may_link(a: bytes, b: bytes, held: dict) -> bool:
-    """False only if the sets can't link: equal values bound the intersection from above."""
-    small = a[:1] != b[:1] or a[:1] == b"S"
-    if held.get("of") != (a, small):
-        held["of"], held["marks"] = (a, small), _marks(a, small)
-    x, y = held["marks"], _marks(b, small)
-    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    both = int((x[at] == y).sum())
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    ``sizes``: of both sets together. The wider sketch folds: its buckets are counted modulo the other's.
+    """
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half], "big") ^ int.from_bytes(a[half:], "big")).to_bytes(half, "big")
+    apart = (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count()
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * sizes
 
 
 def with_sketches(texts: DataFrame) -> DataFrame:
@@ -400,44 +392,44 @@ def _joined(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
     own = texts.select("sid", column).join(wanted, F.col("sid") == F.col("w"), "left_semi")
     left, right = own.toDF("a", "xa"), own.toDF("b", "xb")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "xa", "xb")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "xa", "xb", "sizes")
 
 
 def _filtered(pairs: DataFrame, make) -> DataFrame:
-    """Pairs (a, b, xa, xb) for which the task's function of (a, xa, xb) holds."""
+    """Pairs (a, b, xa, xb, sizes) for which the task's function of (a, xa, xb, sizes) holds."""
 
     def run(batches):
         holds = make()
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             xa, xb = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
-            keep = [i for i in range(len(a)) if holds(a[i], xa[i], xb[i])]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b)], names=["a", "b"])
+            sizes = batch.column(4).to_pylist()
+            keep = [i for i in range(len(a)) if holds(a[i], xa[i], xb[i], sizes[i])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b, sizes)], names=["a", "b", "sizes"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long, sizes long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those that link; texts: sid, n, text, sketch, a row a set.
 
-    Sizes that can't link drop out first, then pairs whose sketches bound the intersection too
-    low; what is left is decided on the words.
+    Sizes that can't link drop out first, then pairs whose sketches bound the symmetric difference
+    too high; what is left is decided on the words.
     """
     size = texts.select("sid", "n")
     na, nb = (size.toDF(x, f"n{x}") for x in ("a", "b"))
     close = (F.col("na") * 100 >= PERCENT * F.col("nb")) & (F.col("nb") * 100 >= PERCENT * F.col("na"))
-    pairs = stored(pairs.join(nb, "b").join(na, "a").where(close).select("a", "b"), "pairs")
+    pairs = stored(pairs.join(nb, "b").join(na, "a").where(close).select("a", "b", (F.col("na") + F.col("nb")).alias("sizes")), "pairs")
 
     def by_sketch():
-        held: dict = {}
-        return lambda a, xa, xb: _may_link(xa, xb, held)
+        return lambda a, xa, xb, sizes: _may_link(xa, xb, sizes)
 
     pairs = stored(_filtered(_joined(pairs, texts, "sketch"), by_sketch), "pairs")
 
     def by_words():
         held: dict = {}
 
-        def holds(a, xa, xb):
+        def holds(a, xa, xb, sizes):
             if held.get("a") != a:
                 held["a"], held["set"] = a, _shingles(xa)
             left, right = held["set"], _shingles(xb)
@@ -446,7 +438,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return holds
 
-    return _filtered(_joined(pairs, texts, "text"), by_words)
+    return _filtered(_joined(pairs, texts, "text"), by_words).select("a", "b")
 
 
 def _with_component(rows: DataFrame, comps: DataFrame, key: str, name: str) -> DataFrame:
