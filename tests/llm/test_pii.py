@@ -27,3 +27,33 @@ def test_edges(spark):
     rows = pii.pseudonymise_documents(df).collect()
     assert {r.doc_id: r.n_ip for r in rows} == {1: 0, 2: 0, 3: 1} and rows[0].text is None and rows[2].text == rows[3].text != "10.0.0.1"
     assert pii.op6_pii_pseudonyms(df.limit(0)).count() == 0
+
+
+def test_failed_candidates_hide_no_value():
+    hidden = {
+        "pay BE68 5390 0754 7034 USD now": ("iban", "5390 0754"), "pay BE68539007547034 2024": ("iban", "BE68539007547034"), "AT61 1904 3002 3457 3201 EUR 100": ("iban", "1904 3002"),
+        "AB12 BE68 5390 0754 7034": ("iban", "5390 0754"), "password: longusername@example.com": ("email", "longusername"), "2024 4111 1111 1111 1111": ("card", "4111 1111 1111 1111"),
+        "on 3/7/2021 and": ("date", "3/7/2021"), "on 2021-3-17 and": ("date", "2021-3-17"), "XX00 ABCD 1234 call 555-123-4567": ("phone", "555-123-4567"),
+    }
+    for text, (kind, private) in hidden.items():
+        new, found = pii.pseudonymise(text)
+        assert found == {kind: 1} and private not in new and len(new) == len(text), text
+        assert pii.pseudonymise(new)[1] == found
+    assert pii.pseudonymise("BE68 5390 0754 7034 USD")[0][:19] == pii.pseudonymise("BE68 5390 0754 7034")[0]
+    for plain in ("1234 5678 9012 3456", "BE68 5390 0754 7035 USD", "13/32/2021", "token=" * 30_000 + "x"):
+        assert pii.pseudonymise(plain) == (plain, {})
+
+
+def test_digits_of_all_scripts():
+    text = "a1 ٩٢٢-٥٥٥-٥٨٦٢ ٤٢.١٤٤.٣٥.٢٥٤"
+    new, found = pii.pseudonymise(text)
+    assert found == {"phone": 1, "ip": 1} and "٥٥٥" not in new and not re.search("[0-9]", new[2:])
+    plain = text.translate({0x660 + d: str(d) for d in range(10)})
+    assert new.translate({0x660 + d: str(d) for d in range(10)}) == pii.pseudonymise(plain)[0]
+
+
+def test_unpadded_dates_are_permuted():
+    days = [f"{m}/{d}/2021" for m in range(1, 10) for d in range(1, 10)]
+    got = [pii.pseudonymise(d)[0] for d in days]
+    assert sum(a != b for a, b in zip(days, got, strict=True)) > 70
+    assert len(set(got)) == len(days) and all(re.fullmatch(r"[1-9]/[1-9]/\d{4}", d) for d in got)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -34,17 +35,28 @@ ROUNDS = 8
 KINDS = ("email", "secret", "iban", "card", "ip", "ssn", "phone", "date")
 _FIRST_DAY, _DAYS = dt.date(1900, 1, 1).toordinal(), 73_049  # to the end of 2099
 
-_PATTERN = re.compile(
-    r"""(?P<email>(?<![\w.+%-])[A-Za-z0-9][\w.%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})
-    |(?P<secret>(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token)["']?[ \t]*[=:][ \t]*["']?[A-Za-z0-9][A-Za-z0-9_+/=-]{7,})
-    |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-    |(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))
-    |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
-    |(?P<date>(?<![\d./-])(?:\d{4}([-/.])\d{2}\7\d{2}|\d{2}([-/.])\d{2}\8\d{4})(?![\d/-]|\.\d))
-    |(?P<card>(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\10\d{4}\10\d{1,7}|\d{4}([ -])\d{6}\11\d{4,5})(?!\d))
-    |(?P<phone>(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d))""",
-    re.X,
-)
+_FORMS = {
+    "email": r"""(?<![\w.+%-])[A-Za-z0-9][\w.%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}""",
+    "secret": r"""(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token)["']?[ \t]*[=:][ \t]*["']?[A-Za-z0-9][A-Za-z0-9_+/=-]{7,}""",
+    "iban": r"""(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])""",
+    "ip": r"""(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)""",
+    "ssn": r"""(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])""",
+    "date": r"""(?<![\d./-])(?:\d{4}(?P<y>[-/.])\d{1,2}(?P=y)\d{1,2}|\d{1,2}(?P<d>[-/.])\d{1,2}(?P=d)\d{4})(?![\d/-]|\.\d)""",
+    "card": r"""(?<!\d)(?:\d{13,19}|\d{4}(?P<c>[ -])\d{4}(?P=c)\d{4}(?P=c)\d{1,7}|\d{4}(?P<a>[ -])\d{6}(?P=a)\d{4,5})(?!\d)""",
+    "phone": r"""(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)""",
+}
+_ORDER = tuple(_FORMS)
+_ALONE = {k: re.compile(f) for k, f in _FORMS.items()}
+_PATTERN, _NO_SECRET = (re.compile("|".join(f"(?P<{k}>{f})" for k, f in _FORMS.items() if k != skip)) for skip in ("", "secret"))
+#: Kinds of plain digits with a check, and more characters than any match but a secret has.
+_NUMBERS, _LONGEST = ("ip", "ssn", "date", "card"), 700
+_FOREIGN_DIGIT = re.compile(r"(?![0-9])\d")
+#: IBAN lengths by country, as registered.
+_IBAN_LENGTH = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in cs.split()}
 _KEYWORD = re.compile(r"(?i)passw|pwd|secret|token|[_-]?key")
 _DIGIT = re.compile(r"[0-9@]")
 
@@ -136,6 +148,15 @@ def iban(value: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(it) for c in value)
 
 
+def iban_ends(value: str) -> list[int]:
+    """Where an IBAN may end in a candidate: at its country's length, or (any other country) before any blank; else at the candidate's end."""
+    blanks = [i for i, c in enumerate(value) if c == " "]
+    length = _IBAN_LENGTH.get(value[:2])
+    if length is None:
+        return [len(value), *reversed(blanks)]
+    return [e for e in [*blanks, len(value)] if len(value[:e].replace(" ", "")) == length] or [len(value)]
+
+
 def ip(value: str, key: bytes) -> str | None:
     parts = value.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
@@ -185,8 +206,11 @@ def date(value: str, key: bytes) -> str | None:
             continue
         if not 0 <= at < _DAYS:
             return None
-        new = dt.date.fromordinal(permute(at, _DAYS, b"date", key) + _FIRST_DAY)
-        part = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+        new = None
+        while new is None or (len(m) == 1 and new.month > 9) or (len(d) == 1 and new.day > 9):  # walks on inside the permutation until the form fits
+            at = permute(at, _DAYS, b"date", key)
+            new = dt.date.fromordinal(at + _FIRST_DAY)
+        part = {"y": f"{new.year:04d}", "m": f"{new.month:0{len(m)}d}", "d": f"{new.day:0{len(d)}d}"}
         return mark.join(part[o] for o in order)
     return None
 
@@ -212,21 +236,68 @@ def secret(value: str, key: bytes) -> str | None:
 RULES: dict[str, Callable[[str, bytes], str | None]] = {"email": email, "secret": secret, "iban": iban, "card": card, "ip": ip, "ssn": ssn, "phone": phone, "date": date}
 
 
+def _in_script(new: str, old: str) -> str:
+    """``new`` with its digits in the scripts of ``old``'s: place by place, or (other length) as its first digit."""
+    zeros = [ord(c) - unicodedata.decimal(c) if c.isdecimal() else 48 for c in old]
+    if len(new) != len(old):
+        zeros = [next(z for c, z in zip(old, zeros, strict=True) if c.isdecimal())] * len(new)
+    return "".join(chr(z + int(c)) if "0" <= c <= "9" else c for c, z in zip(new, zeros, strict=True))
+
+
 def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
-    """The text with every valid value replaced, and how many of each kind."""
+    """The text with every valid value replaced, and how many of each kind.
+
+    Digits of all scripts count as digits. Where a candidate fails its check, the other kinds are
+    tried at its place and the search goes on at the next character, so that a failed candidate
+    hides no value; but a piece of a number that failed its check is no phone number.
+    """
     found: dict[str, int] = {}
-    if not _DIGIT.search(text) and not _KEYWORD.search(text):
+    folded = text if text.isascii() else _FOREIGN_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+    if not _DIGIT.search(folded) and not _KEYWORD.search(folded):
         return text, found
+    out: list[str] = []
+    done = pos = failed_number = failed_secret = 0
+
+    def value_at(m: re.Match) -> tuple[str, int, str] | None:
+        nonlocal failed_number, failed_secret
+        for kind in _ORDER[_ORDER.index(m.lastgroup) :]:
+            if kind == "secret" and m.start() < failed_secret:
+                continue
+            c = m if kind == m.lastgroup else _ALONE[kind].match(folded, m.start())
+            if c is None or (kind == "phone" and c.end() <= failed_number):
+                continue
+            for end in iban_ends(c[0]) if kind == "iban" else (len(c[0]),):
+                new = RULES[kind](c[0][:end], key)
+                if new is not None:
+                    return kind, c.start() + end, new
+            if kind in _NUMBERS:
+                failed_number = max(failed_number, c.end())
+            if kind == "iban" and c[0][:2] in _IBAN_LENGTH:
+                failed_number = max(failed_number, c.start() + end)
+            if kind == "secret":
+                failed_secret = c.end()
+        return None
 
-    def swap(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = RULES[kind](m[0], key)
-        if new is None:
-            return m[0]
+    while True:
+        if pos < failed_secret:  # a key's value without digits hides no other key's and no number, only an address
+            m = _NO_SECRET.search(folded, pos, failed_secret + _LONGEST) if "@" in folded[failed_secret : failed_secret + 64] else None
+            if m is None or m.start() >= failed_secret:
+                pos = failed_secret
+                continue
+        else:
+            m = _PATTERN.search(folded, pos)
+            if m is None:
+                break
+        got = value_at(m)
+        if got is None:
+            pos = m.start() + 1
+            continue
+        kind, end, new = got
+        old = text[m.start() : end]
+        out += [text[done : m.start()], new if old.isascii() else _in_script(new, old)]
         found[kind] = found.get(kind, 0) + 1
-        return new
-
-    return _PATTERN.sub(swap, text), found
+        done = pos = end
+    return "".join([*out, text[done:]]), found
 
 
 def pseudonymise_documents(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> DataFrame:
