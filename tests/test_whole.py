@@ -1,5 +1,8 @@
 """Queries over all rows against plain loops over all rows."""
 
+import pytest
+
+from tickloom.operators import amm
 from tickloom.plans import catalogue
 from tickloom.sources import domain
 
@@ -34,3 +37,17 @@ def test_all_own_buys_leave_the_book(spark):
     assert left and {r.side for r in left} == {"SELL"}
     open_ids = {r.order_id for r in catalogue.QUERIES["book_open_orders"](spark, SF).where("side = 'BUY'").collect()}
     assert {r.order_id for r in catalogue.QUERIES["book_audit_open_buys"](spark, SF).collect()} == open_ids
+
+
+def test_pool_events_other_than_burns_take_no_liquidity():
+    pool = amm.Pool(amm.Q96)
+    pool.step(("mint", -600, 600, "1000000000000000000", "0", False))
+    before = pool.price, pool.tick, pool.liquidity, dict(pool.net)
+    row = pool.step(("flash", -600, 600, "1000000000000000000", "1001", True))[0]
+    assert row[3:] == ("1005", "1001", "4") and (pool.price, pool.tick, pool.liquidity, pool.net) == before
+    for kind in ("collect", "Burn", None):
+        with pytest.raises(ValueError):
+            pool.step((kind, -600, 600, "1000000000000000000", "0", False))
+    assert (pool.price, pool.tick, pool.liquidity, pool.net) == before
+    pool.step(("burn", -600, 600, "1000000000000000000", "0", False))
+    assert pool.liquidity == 0

@@ -77,7 +77,7 @@ def next_price(price: int, liquidity: int, amount: int, zero_for_one: bool) -> i
 
 
 class Pool:
-    """Swaps, mints and burns of one pool. Rows: (kind, tick_lower, tick_upper, liquidity, amount_in, zero_for_one).
+    """Swaps, mints, burns and flash loans of one pool; any other kind is an error. Rows: (kind, tick_lower, tick_upper, liquidity, amount_in, zero_for_one).
 
     Emits price, tick, active liquidity, amounts in and out, and the fee.
     """
@@ -132,13 +132,24 @@ class Pool:
             self.tick = edge - 1 if zero_for_one else edge
         return amount - left, out, fees
 
+    def flash(self, amount: int) -> int:
+        """The fee of a loan that is paid back at once, rounded up; price and liquidity stay."""
+        if not self.liquidity:
+            raise ValueError("a flash loan needs active liquidity")
+        return mul_div(amount, self.fee, 1_000_000, True)
+
     def step(self, row):
         kind, lower, upper, liquidity, amount, zero_for_one = row
+        fee = 0
         if kind == "swap":
             paid, got, fee = self.swap(int(amount), bool(zero_for_one))
-        else:
+        elif kind in ("mint", "burn"):
             paid, got = self.position(lower, upper, int(liquidity) if kind == "mint" else -int(liquidity))
-            fee = 0
+        elif kind == "flash":
+            got, fee = int(amount), self.flash(int(amount))
+            paid = got + fee
+        else:
+            raise ValueError(f"pool events of kind {kind!r} are not built")
         return [(str(self.price), self.tick, str(self.liquidity), str(paid), str(got), str(fee))]
 
 
