@@ -2,6 +2,7 @@
 
 import pytest
 
+from tickloom.llm import licences
 from tickloom.operators import amm
 from tickloom.plans import catalogue
 from tickloom.sources import domain
@@ -51,3 +52,12 @@ def test_pool_events_other_than_burns_take_no_liquidity():
     assert (pool.price, pool.tick, pool.liquidity, pool.net) == before
     pool.step(("burn", -600, 600, "1000000000000000000", "0", False))
     assert pool.liquidity == 0
+
+
+def test_long_licence_expressions_are_read_whole():
+    a = licences.automaton()
+    long = b"SPDX-License-Identifier: " + b" OR ".join([b"MIT"] * 100) + b" OR (GPL-2.0-only AND MPL-2.0)"
+    got = licences.scan(long + b"\nmore text", a)
+    assert got["labels"] == "gpl,mit,mpl" and got["score"] == 1.0
+    far = licences.scan(b"SPDX-License-Identifier: MIT " + b"word " * 100 + b"SPDX-License-Identifier: MPL-2.0", a)
+    assert far["labels"] == "mit,mpl" and len(far["expressions"]) == 2

@@ -52,7 +52,8 @@ FAMILIES = (
     ("epl", "epl", 1), ("agpl", "agpl", 0), ("gpl", "gpl", 0),
 )
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_EXPRESSION = re.compile(rb"(?i)spdx-license-identifier[ \t]*:[ \t]*([^\r\n]{1,400})")
+#: What follows a tag, to the end of its line or the line's next tag.
+_EXPRESSION = re.compile(rb"(?i)spdx-license-identifier[ \t]*:[ \t]*((?:(?!spdx-license-identifier[ \t]*:)[^\r\n])+)")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
