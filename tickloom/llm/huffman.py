@@ -1,7 +1,7 @@
 """Operator 4, token-id output: canonical length-limited Huffman coding in independent blocks.
 
-Encoding: texts go through the tokenizers library (words met before come from a bounded cache:
-this vocabulary splits at white space, so a text's ids are those of its words), every document
+Encoding: texts go through the tokenizers library (this vocabulary splits at white space, so a text's
+ids are those of its words, and a slab of texts asks for its distinct words only), every document
 ends with an end id, and global id counts, summed by Spark, give code lengths of at most
 ``MAX_BITS`` by the package-merge algorithm; codes are canonical, so the lengths alone are the
 table. Documents are range-partitioned and sorted by doc_id, and each run of about
@@ -19,22 +19,26 @@ shard; a table of one distinct id gets codes of one bit; other columns are ignor
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tickloom.llm.common import map_batches, steps, stored
+from tickloom.llm.common import stored
 
 MAX_BITS, BLOCK_IDS, SHARD_IDS, END_ID = 16, 256, 1 << 19, 1
-CACHE_WORDS = 700_000
-MAGIC = b"TLHF\1\0\0\0"
+#: Cores and marks of one generation of the cache; bytes of text whose words are looked up together.
+CACHE_WORDS, SLAB_BYTES = 400_000, 16 << 20
+#: Rows of an Arrow batch of texts: their words are looked up together.
+TEXT_ROWS = 12_000
+MAGIC = b"TLHF\2\0\0\0"
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -128,13 +132,11 @@ class Coder:
 
 
 def pack(ids: np.ndarray, document_sizes: np.ndarray, coder: Coder) -> bytes:
-    """A shard: header, code lengths of the ids that occur in the table, sizes of documents, block offsets, bits."""
+    """A shard: header, code length of every id (0: unused; the codes follow from them), sizes of documents, block offsets, bits."""
     bits, offsets = coder.encode(ids)
-    used = np.flatnonzero(coder.lengths)
-    table = used.astype("<u4").tobytes() + coder.lengths[used].astype(np.uint8).tobytes()
     sizes = document_sizes.astype("<u8").tobytes()
-    head = MAGIC + struct.pack("<6Q", len(coder.lengths), len(used), len(document_sizes), len(ids), len(offsets), len(bits))
-    packed = zlib.compress(table, 1)
+    head = MAGIC + struct.pack("<6Q", len(coder.lengths), 0, len(document_sizes), len(ids), len(offsets), len(bits))
+    packed = zlib.compress(coder.lengths.astype(np.uint8).tobytes(), 6)
     return head + struct.pack("<Q", len(packed)) + packed + sizes + offsets.astype("<u8").tobytes() + bits
 
 
@@ -145,38 +147,33 @@ def unpack(shard: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a shard and its documents' sizes."""
     if shard[:8] != MAGIC:
         raise ValueError("not a shard")
-    vocabulary, n_used, n_docs, n, n_blocks, n_bits = struct.unpack_from("<6Q", shard, 8)
+    vocabulary, _, n_docs, n, n_blocks, n_bits = struct.unpack_from("<6Q", shard, 8)
     at = 8 + 48
     (size,) = struct.unpack_from("<Q", shard, at)
     packed = shard[at + 8 : at + 8 + size]
     at += 8 + size
     coder = _CODERS.get(packed)
     if coder is None:
-        table = zlib.decompress(packed)
-        lengths = np.zeros(vocabulary, np.uint8)
-        lengths[np.frombuffer(table, "<u4", n_used)] = np.frombuffer(table, np.uint8, n_used, 4 * n_used)
         _CODERS.clear()
-        coder = _CODERS[packed] = Coder(lengths)
+        coder = _CODERS[packed] = Coder(np.frombuffer(zlib.decompress(packed), np.uint8, vocabulary))
     sizes = np.frombuffer(shard, "<u8", n_docs, at).astype(np.int64)
     offsets = np.frombuffer(shard, "<u8", n_blocks, at + 8 * n_docs)
     bits = shard[at + 8 * n_docs + 8 * n_blocks :][:n_bits]
     return coder.decode(bits, offsets, n), sizes
 
 
-#: Separators that str.split takes for white space and the vocabulary does not; fixed values.
-_NO_SPACE = "\x1c\x1d\x1e\x1f"
-_BLANK = re.compile(r"[ \t-\r]+")
-
-
 #: Marks that end a word as a piece of their own, whatever stands before; fixed values.
 _MARKS = ".,;:!?#*$%&|+=()[]{}\"/"
+_TAIL = "(?P<tail>[" + "".join(f"\\x{ord(c):02x}" for c in _MARKS) + "]*)$"
 
 
 class WordTokenizer:
     """Ids of texts by the tokenizers library, word by word where the vocabulary drops white space.
 
-    A new word goes to the library without its closing marks and, if ASCII, in lower case (the
-    vocabulary splits marks off and has no case); many new words make one call, told apart by offsets.
+    Arrow finds the distinct words of a slab of texts; each is a core and closing marks, the core in
+    lower case if it is ASCII (the vocabulary splits marks off and has no case). Distinct cores and
+    marks that two generations of a bounded cache don't know go to the library, many a call, told
+    apart by offsets.
     """
 
     def __init__(self, path: str):
@@ -184,47 +181,79 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for piece, i in self.library.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ask(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: runs of letters, which are one piece of text to the library, are told apart by ids that end a word, others by offsets."""
         got = self.library.encode(" ".join(words), add_special_tokens=False)
-        if not got.ids:
-            return [b""] * len(words)
-        size = np.array([len(w) + 1 for w in words])
-        cuts = np.searchsorted(np.array(got.offsets, np.int64)[:, 0], np.cumsum(size) - size).tolist()
-        ids = np.array(got.ids, "<u4").tobytes()
-        return [ids[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids) // 4], strict=True)]
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        parts = {}
-        for w in words:
-            core = w if "<|" in w else w.rstrip(_MARKS)
-            if not core or not core[-1].isalnum():
-                core = w
-            parts[w] = (core.lower() if core.isascii() and "<|" not in core else core, w[len(core) :])
-        cores = self.cores
-        new = list({x for p in parts.values() for x in p if x and x not in cores})
-        if len(cores) + len(new) > CACHE_WORDS:
-            cores.clear()
-            new = list({x for p in parts.values() for x in p if x})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            cores.update(zip(part, self._ask(part), strict=True))
-        return {w: cores[a] + cores[b] if b else cores[a] for w, (a, b) in parts.items()}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        cut = [_BLANK.split(t) if any(c in t for c in _NO_SPACE) else t.split() for t in texts]
-        known = self.known
-        found = [list(map(known.get, words)) for words in cut]
-        new = {w for words, got in zip(cut, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None and w}
-        fresh = self._learn(list(new)) if new else {}
-        fresh[""] = b""
-        if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
-        known.update(fresh)
-        return [b"".join(got if None not in got else [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]) for words, got in zip(cut, found, strict=True)]
+        ids, width = np.array(got.ids, self.kind), self.kind.itemsize
+        after = np.flatnonzero(self.ends[ids]) + 1
+        if all(map(str.isalpha, words)) and len(after) == len(words):
+            cuts = [0, *after.tolist()]
+        else:
+            size = np.array([len(w) + 1 for w in words])
+            cuts = [*np.searchsorted(np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], np.cumsum(size) - size).tolist(), len(ids)]
+        flat = ids.tobytes()
+        return [flat[width * a : width * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _known(self, parts: list[str]) -> list[bytes]:
+        if len(self.young) + len(parts) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = list(map(young.get, parts))
+        new = []
+        for i, got in enumerate(out):
+            if got is None:
+                got = old.get(parts[i]) if parts[i] else b""
+                if got is None:
+                    new.append(i)
+                else:
+                    out[i] = young[parts[i]] = got
+        letters = [i for i in new if parts[i].isalpha()]
+        for some in (letters, [i for i in new if not parts[i].isalpha()] if len(letters) < len(new) else []):
+            for k in range(0, len(some), 4096):
+                at = some[k : k + 4096]
+                for i, got in zip(at, self._ask([parts[i] for i in at]), strict=True):
+                    out[i] = young[parts[i]] = got
+        return out
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has."""
+        special = pc.match_substring(words, "<|")
+        tail = pc.struct_field(pc.extract_regex(words, _TAIL), "tail")
+        core = pc.utf8_rtrim(words, characters=_MARKS)
+        whole = pc.or_(special, pc.invert(pc.match_substring_regex(core, r"[\p{L}\p{Nd}]$")))
+        core, tail = pc.if_else(whole, words, core), pc.if_else(whole, "", tail)
+        core = pc.if_else(pc.and_not(pc.string_is_ascii(core), special), pc.ascii_lower(core), core)
+        parts = pa.concat_arrays([core, tail]).dictionary_encode()
+        blobs = self._known(parts.dictionary.to_pylist())
+        size = np.array([len(b) for b in blobs], np.int64) // self.kind.itemsize
+        at = np.ascontiguousarray(parts.indices.to_numpy().reshape(2, -1).T).ravel()
+        flat = _gathered(np.frombuffer(b"".join(blobs), self.kind), size, at)
+        return flat, size[at].reshape(-1, 2).sum(1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has; null texts have none."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        bounds = lists.offsets.to_numpy()
+        words = lists.values.dictionary_encode()
+        flat, size = self._words(words.dictionary)
+        at = words.indices.to_numpy()
+        upto = np.concatenate([[0], np.cumsum(size[at])])
+        return _gathered(flat, size, at), np.diff(upto[bounds])
+
+
+def _gathered(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs ``at`` of ``flat``, which holds runs of the given sizes, one after the other."""
+    n = size[at]
+    begin = (np.cumsum(size) - size)[at] - (np.cumsum(n) - n)
+    total = int(n.sum())
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.arange(total, dtype=kind) + np.repeat(begin.astype(kind), n)]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -242,46 +271,59 @@ def loaded(vocabulary: str) -> WordTokenizer:
 
 
 def tokenised(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = END_ID) -> DataFrame:
-    """doc_id, n (ids with the end id) and ids (binary: uint16 or uint32, little-endian) of every document."""
-    small = loaded(vocabulary).size <= 1 << 16
+    """doc_id, n (ids with the end id) and ids (binary: uint16 or uint32, little-endian) of every document; and a row a task with ``counts`` alone, of every id (uint64)."""
 
-    def make():
+    def run(batches):
         tokenizer = loaded(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n, kept = [], []
-            for s in steps(texts):
-                for got in tokenizer.encode(texts[s]):
-                    ids = np.frombuffer(got + end, "<u4")
-                    n.append(len(ids))
-                    kept.append(ids.astype("<u2").tobytes() if small else ids.tobytes())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n", "ids"])
-
-        return step
-
-    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, ids binary")
-
-
-def write_shards(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
-    """The written table, read back: part, shard (of the part), first_id, doc_ids and the shard's bytes, in doc_id order."""
+        end = np.array([end_id], tokenizer.kind).tobytes()
+        counts = np.zeros(tokenizer.size, np.int64)
+        names = ["doc_id", "n", "ids", "counts"]
+        kind = None
+        for batch in batches:
+            texts, kind = batch.column(1), batch.column(0).type
+            length = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+            n, kept = [np.zeros(0, np.int64)], []
+            for a, b in slabs(length):
+                ids, size = tokenizer.encode(texts.slice(a, b - a))
+                cuts = np.concatenate([[0], np.cumsum(size)]).tolist()
+                n.append(size + 1)
+                kept += [ids[x:y].tobytes() + end for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                counts += np.bincount(ids, minlength=tokenizer.size)
+            counts[end_id] += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(kept, pa.binary()), pa.nulls(batch.num_rows, pa.binary())], names=names)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, ids binary, counts binary")
+
+
+def slabs(length: np.ndarray, limit: int = SLAB_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``limit`` bytes, of one text at least."""
+    end = np.cumsum(length)
+    a = 0
+    while a < len(end):
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + limit, side="right")))
+        yield a, b
+        a = b
+
+
+def write_shards(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", path: str | None = None) -> DataFrame:
+    """The table written to ``path`` (none: the shared folder) and read back: part, shard (of the part), n_ids, doc_ids and the shard's bytes, in doc_id order."""
     spark = docs.sparkSession
-    ids = stored(tokenised(docs, vocabulary), "ids")
+    written = stored(tokenised(docs, vocabulary), "ids", TEXT_ROWS)
+    ids = written.where("n IS NOT NULL").drop("counts")
     size = loaded(vocabulary).size
-    kind = "<u2" if size <= 1 << 16 else "<u4"
+    kind = loaded(vocabulary).kind
 
     def count(batches):
         sums = np.zeros(size, np.int64)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                sums += np.bincount(np.frombuffer(blob, kind), minlength=size) if len(blob) > 1 << 16 else 0
-            small = b"".join(x for x in batch.column(0).to_pylist() if len(x) <= 1 << 16)
-            sums += np.bincount(np.frombuffer(small, kind), minlength=size)
+                sums += np.frombuffer(blob, np.int64)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["id", "c"])
 
-    got = ids.select("ids").mapInArrow(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toPandas()  # a row an id of the vocabulary
+    got = written.select("counts").where("counts IS NOT NULL").mapInArrow(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toPandas()  # a row an id of the vocabulary
     counts = np.zeros(size, np.int64)
     counts[got["id"].to_numpy()] = got["c"].to_numpy()
     lengths = spark.sparkContext.broadcast(code_lengths(counts))
@@ -314,7 +356,11 @@ def write_shards(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> Data
             yield flush()
 
     schema = f"part int, shard int, n_ids long, doc_ids array<{docs.schema['doc_id'].dataType.simpleString()}>, bytes binary"
-    return stored(ordered.select("part", "doc_id", "ids").mapInArrow(write, schema), "shards")
+    shards = ordered.select("part", "doc_id", "ids").mapInArrow(write, schema)
+    if path is None:
+        return stored(shards, "shards")
+    shards.write.mode("error").parquet(path)
+    return spark.read.schema(shards.schema).parquet(path)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
