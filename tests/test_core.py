@@ -162,3 +162,30 @@ def test_bar_types_and_fees(spark):
         wrangle.fee("none")
     rates = {(r.source, r.target): (r.rate, r.hops) for r in replay.exchange_rates(spark, [("A", "B", 2.0, 2.0), ("B", "C", 3.0, 3.0)]).collect()}
     assert rates[("A", "C")] == (6.0, 2) and ("A", "D") not in rates
+
+
+def test_paths_hold_whole_codes(spark):
+    got = {(r.source, r.target): r.rate for r in replay.exchange_rates(spark, [("BTC", "USDT", 99.0, 101.0), ("USDT", "USD", 0.9, 1.1)]).collect()}
+    assert got["BTC", "USD"] == 100.0 and len(got) == 6
+
+
+def test_losses_of_all_and_more(spark):
+    from tickloom.operators import stats
+
+    rows = [("a", 1, 0.1), ("a", 2, -1.0), ("a", 3, 0.1), ("b", 1, 0.5), ("b", 2, -1.5), ("b", 3, 0.2)]
+    df = spark.createDataFrame(rows, "k string, ts long, r double")
+    assert {r.k: round(r.max_drawdown, 9) for r in stats.max_drawdown(df, "k", ["ts"]).collect()} == {"a": -1.0, "b": -1.6}
+    assert [round(r.equity, 9) for r in stats.equity(df, "k", ["ts"]).where("k = 'b'").orderBy("ts").collect()] == [1.5, -0.75, -0.9]
+
+
+def test_refused_messages_do_not_count(spark):
+    rows = [("a", t, t) for t in (0, 1, 2, 3, 4, 10, 11, 12)]
+    df = spark.createDataFrame(rows, "k string, ts long, seq long")
+    got = [r.allowed for r in replay.throttled(df, 2, 10, "k", ["ts", "seq"]).orderBy("seq").collect()]
+    assert got == [True, True, False, False, False, True, True, False]
+
+
+def test_prices_at_the_ends_of_the_range():
+    assert amm.sqrt_price_at(amm.MIN_TICK) == 4295128739
+    assert amm.sqrt_price_at(amm.MAX_TICK) == 1461446703485210103287273052203988822378723970342
+    assert amm.sqrt_price_at(1) == 79232123823359799118286999568

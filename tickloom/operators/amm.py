@@ -6,11 +6,10 @@ them as decimal text and Python integers do the arithmetic.
 
 from __future__ import annotations
 
-from math import isqrt
+from bisect import bisect_right, insort
 
 Q96 = 1 << 96
 MIN_TICK, MAX_TICK = -887_272, 887_272
-_BITS = 128
 
 
 def mul_div(a: int, b: int, d: int, up: bool = False) -> int:
@@ -19,29 +18,42 @@ def mul_div(a: int, b: int, d: int, up: bool = False) -> int:
     return q + (1 if up and r else 0)
 
 
-def _power_of_tick(k: int) -> int:
-    """1.0001 ** (2**k / 2), scaled by 2**_BITS and rounded: by exact integer roots and squares."""
-    scale = 1 << (4 * _BITS)
-    base = isqrt((scale * 10_001 // 10_000) * scale)  # square root of 1.0001
-    for _ in range(k):
-        base = base * base // scale
-    return base >> (3 * _BITS)
-
-
-_POWERS = [_power_of_tick(k) for k in range(20)]
+#: 1.0001 ** -(2**k / 2) scaled by 2**128, for k = 0 to 19, as the chain holds them.
+_POWERS = (
+    0xFFFCB933BD6FAD37AA2D162D1A594001,
+    0xFFF97272373D413259A46990580E213A,
+    0xFFF2E50F5F656932EF12357CF3C7FDCC,
+    0xFFE5CACA7E10E4E61C3624EAA0941CD0,
+    0xFFCB9843D60F6159C9DB58835C926644,
+    0xFF973B41FA98C081472E6896DFB254C0,
+    0xFF2EA16466C96A3843EC78B326B52861,
+    0xFE5DEE046A99A2A811C461F1969C3053,
+    0xFCBE86C7900A88AEDCFFC83B479AA3A4,
+    0xF987A7253AC413176F2B074CF7815E54,
+    0xF3392B0822B70005940C7A398E4B70F3,
+    0xE7159475A2C29B7443B29C7FA6E889D9,
+    0xD097F3BDFD2022B8845AD8F792AA5825,
+    0xA9F746462D870FDF8A65DC1F90E061E5,
+    0x70D869A156D2A1B890BB3DF62BAF32F7,
+    0x31BE135F97D08FD981231505542FCFA6,
+    0x9AA508B5B7A84E1C677DE54F3E99BC9,
+    0x5D6AF8DEDB81196699C329225EE604,
+    0x2216E584F5FA1EA926041BEDFE98,
+    0x48A170391F7DC42444E8FA2,
+)
 
 
 def sqrt_price_at(tick: int) -> int:
-    """Square root of 1.0001**tick, scaled by 2**96, rounded up (to about 1e-34 relative)."""
+    """Square root of 1.0001**tick, scaled by 2**96, in the chain's own fixed-point steps, rounded up."""
     if not MIN_TICK <= tick <= MAX_TICK:
         raise ValueError(f"tick {tick} is out of range")
-    ratio, one = 1 << _BITS, 1 << _BITS
-    for k in range(20):
+    ratio = 1 << 128
+    for k, power in enumerate(_POWERS):
         if abs(tick) >> k & 1:
-            ratio = ratio * _POWERS[k] >> _BITS
-    if tick < 0:
-        ratio = one * one // ratio
-    return -((-ratio) >> (_BITS - 96))
+            ratio = ratio * power >> 128
+    if tick > 0:
+        ratio = ((1 << 256) - 1) // ratio
+    return -(-ratio >> 32)
 
 
 def tick_at(sqrt_price: int) -> int:
@@ -86,14 +98,18 @@ class Pool:
         self.price, self.fee, self.tick, self.liquidity = price, fee_ppm, tick_at(price), 0
         self.net: dict[int, int] = {}
         self.gross: dict[int, int] = {}
+        self.ticks: list[int] = []
 
     def position(self, lower: int, upper: int, delta: int) -> tuple[int, int]:
         """Adds (or, negative, takes) liquidity; token amounts in (negative: out)."""
         for t, sign in ((lower, 1), (upper, -1)):
+            if t not in self.net:
+                insort(self.ticks, t)
             self.net[t] = self.net.get(t, 0) + sign * delta
             self.gross[t] = self.gross.get(t, 0) + delta
             if not self.gross[t]:
                 del self.net[t], self.gross[t]
+                self.ticks.remove(t)
         if lower <= self.tick < upper:
             self.liquidity += delta
         a, b = sqrt_price_at(lower), sqrt_price_at(upper)
@@ -105,12 +121,10 @@ class Pool:
         """Exact input through as many ticks as it takes; (in, out, fee). What finds no liquidity is not taken."""
         left, out, fees = amount, 0, 0
         while left > 0:
-            ahead = [t for t in self.net if (t <= self.tick if zero_for_one else t > self.tick)]
-            if not ahead and not self.liquidity:
-                break
-            edge = (max(ahead) if zero_for_one else min(ahead)) if ahead else None
-            if edge is None:
+            nth = bisect_right(self.ticks, self.tick) - zero_for_one
+            if not 0 <= nth < len(self.ticks):
                 break
+            edge = self.ticks[nth]
             goal = sqrt_price_at(edge)
             if self.liquidity:
                 usable = left * (1_000_000 - self.fee) // 1_000_000

@@ -22,7 +22,7 @@ def open_orders(deltas: DataFrame, at: int | None = None, key: list[str] | None
     d = deltas if at is None else deltas.where(F.col("ts") <= at)
     place = F.struct("ts", "seq")
     clears = d.where("action = 'CLEAR'").groupBy("instrument").agg(F.max(place).alias("cleared"))
-    d = d.where("action <> 'CLEAR'").join(F.broadcast(clears), "instrument", "left").where("cleared IS NULL OR struct(ts, seq) > cleared")
+    d = d.where("action <> 'CLEAR'").join(clears, "instrument", "left").where("cleared IS NULL OR struct(ts, seq) > cleared")
     keep = [c for c in ("side", "price", "size") if c not in key]
     g = d.groupBy("instrument", *key).agg(
         F.max(F.when(F.col("action") == "ADD", place)).alias("added"), F.max(F.when(F.col("action") == "DELETE", place)).alias("gone"),

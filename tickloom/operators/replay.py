@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.operators.folds import fold
+
 
 def merged(streams: dict[str, DataFrame], append: dict[str, bool] | None = None) -> DataFrame:
     """One stream of several (ts, seq, ...) with ``type`` and ``priority``: appended streams come after others at the same time.
@@ -40,10 +42,24 @@ def first_triggers(orders: DataFrame, prices: DataFrame, bucket: int = 3600 * 10
     return j.groupBy("instrument", "order_id").agg(F.min("pts").alias("trigger_ts"), F.min_by("px", F.struct("pts", "pseq")).alias("trigger_px"))
 
 
-def throttled(rows: DataFrame, limit: int, interval: int, key: str) -> DataFrame:
-    """How many rows of the key fell in the interval up to and with each row; ``allowed`` while at most ``limit``."""
-    w = W.partitionBy(key).orderBy("ts").rangeBetween(-(interval - 1), 0)
-    return rows.withColumn("in_window", F.count("*").over(w)).withColumn("allowed", F.col("in_window") <= limit)
+class Throttle:
+    """Sends a message unless ``limit`` were sent in the interval up to it; only what was sent counts."""
+
+    def __init__(self, limit: int, interval: int):
+        self.limit, self.interval, self.sent = limit, interval, []
+
+    def step(self, row):
+        (now,) = row
+        self.sent = [t for t in self.sent if now - t < self.interval]
+        allowed = len(self.sent) < self.limit
+        if allowed:
+            self.sent.append(now)
+        return [(len(self.sent), allowed)]
+
+
+def throttled(rows: DataFrame, limit: int, interval: int, key: str, order: list[str]) -> DataFrame:
+    """Of each row (``order`` begins with ts) whether it is sent, and how many were sent in the interval up to and with it."""
+    return fold(rows, lambda: Throttle(limit, interval), [key], order, ["ts"], "sent long, allowed boolean")
 
 
 def exchange_rates(spark: SparkSession, quotes: list[tuple[str, str, float, float]], most_hops: int = 6) -> DataFrame:
@@ -53,14 +69,14 @@ def exchange_rates(spark: SparkSession, quotes: list[tuple[str, str, float, floa
     """
     rows = [(b, q, (x + y) / 2) for b, q, x, y in quotes] + [(q, b, 2 / (x + y)) for b, q, x, y in quotes]
     edges = spark.createDataFrame(rows, "f string, t string, r double")
-    found = edges.select(F.col("f").alias("source"), F.col("t").alias("target"), F.concat_ws(">", "f", "t").alias("path"), F.col("r").alias("rate"), F.lit(1).alias("hops"))
+    found = edges.select(F.col("f").alias("source"), F.col("t").alias("target"), F.concat_ws(">", "f", "t").alias("path"), F.col("r").alias("rate"), F.lit(1).alias("hops"), F.array("f", "t").alias("seen"))
     best = W.partitionBy("source", "target").orderBy("hops", "path")
     found = found.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
     for _ in range(most_hops - 1):
-        more = found.join(F.broadcast(edges), F.col("target") == F.col("f")).where("t <> source AND NOT contains(path, t)")
-        more = more.select("source", F.col("t").alias("target"), F.concat_ws(">", "path", "t").alias("path"), (F.col("rate") * F.col("r")).alias("rate"), (F.col("hops") + 1).alias("hops"))
+        more = found.join(F.broadcast(edges), F.col("target") == F.col("f")).where(~F.array_contains("seen", F.col("t")))
+        more = more.select("source", F.col("t").alias("target"), F.concat_ws(">", "path", "t").alias("path"), (F.col("rate") * F.col("r")).alias("rate"), (F.col("hops") + 1).alias("hops"), F.concat("seen", F.array("t")).alias("seen"))
         found = found.union(more).withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
-    return found
+    return found.drop("seen")
 
 
 def spread_quotes(spine: DataFrame, legs: DataFrame) -> DataFrame:

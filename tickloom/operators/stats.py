@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,12 +22,20 @@ def daily(returns: DataFrame, key: str) -> DataFrame:
     return returns.groupBy(key, F.expr(f"ts div {DAY}").alias("day")).agg(F.sum("r").alias("r"))
 
 
+def compounded(r: Column, total: Callable[[Column], Column]) -> Column:
+    """Product of 1 + r by sums of logarithms, signs and zeros; ``total`` sums a column (plainly or over a window). A loss of all is 0, a larger one changes the sign."""
+    factor = 1 + r
+    logs = total(F.when(factor == 0, 0.0).otherwise(F.log(F.abs(factor))))
+    sign = F.when(total(F.when(factor < 0, 1).otherwise(0)) % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(total(F.when(factor == 0, 1).otherwise(0)) > 0, 0.0).otherwise(sign * F.exp(logs))
+
+
 def return_statistics(returns: DataFrame, key: str, period: int = 252) -> DataFrame:
     """Sharpe, Sortino, volatility, CAGR (daily bins); risk-return, profit factor, averages (raw); NaN where undefined."""
     d = daily(returns, key)
     mean, sd, n = F.avg("r"), F.stddev_samp("r"), F.count("*")
     down = F.sqrt(F.sum(F.when(F.col("r") < 0, F.col("r") * F.col("r")).otherwise(0.0)) / n)
-    growth = F.exp(F.sum(F.log1p("r")))
+    growth = compounded(F.col("r"), F.sum)
     by_day = d.groupBy(key).agg(
         F.when((n > 1) & (sd > 1e-12), mean / sd * period**0.5).otherwise(_nan()).alias("sharpe"),
         F.when(down > 1e-12, mean / down * period**0.5).otherwise(_nan()).alias("sortino"),
@@ -46,7 +56,7 @@ def return_statistics(returns: DataFrame, key: str, period: int = 252) -> DataFr
 def equity(returns: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Compounded curve from 1, its peak (1 at least), and the drawdown in percent at every return."""
     s = Series(key, *order)
-    e = returns.withColumn("equity", F.exp(F.sum(F.log1p("r")).over(s.all)))
+    e = returns.withColumn("equity", compounded(F.col("r"), lambda c: F.sum(c).over(s.all)))
     e = e.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(s.all)))
     return e.withColumn("drawdown", 100 * (F.col("equity") - F.col("peak")) / F.col("peak"))
 
@@ -90,14 +100,14 @@ def rolling_sharpe(returns: DataFrame, key: str, n: int) -> DataFrame:
 def periodic_returns(returns: DataFrame, key: str, unit: str = "week") -> DataFrame:
     """Compounded returns by calendar unit."""
     start = F.to_date(F.date_trunc(unit, F.timestamp_micros(F.expr("ts div 1000"))))
-    return returns.groupBy(key, start.cast("string").alias("period")).agg((F.exp(F.sum(F.log1p("r"))) - 1).alias("r"))
+    return returns.groupBy(key, start.cast("string").alias("period")).agg((compounded(F.col("r"), F.sum) - 1).alias("r"))
 
 
 def monthly_table(returns: DataFrame, key: str) -> DataFrame:
     """A row a year, a column a month; empty months are 0."""
     t = F.timestamp_micros(F.expr("ts div 1000"))
     m = returns.withColumn("year", F.year(t)).withColumn("month", F.month(t))
-    value = lambda k: F.exp(F.sum(F.when(F.col("month") == k, F.log1p("r")).otherwise(0.0))) - 1
+    value = lambda k: compounded(F.when(F.col("month") == k, F.col("r")).otherwise(0.0), F.sum) - 1
     return m.groupBy(key, "year").agg(*[value(k).alias(f"m{k:02d}") for k in range(1, 13)])
 
 

@@ -156,7 +156,7 @@ R.add("risk_checks", lambda s, d: table(s, d, "orders").select("o_orderkey", F.w
 _FX = [("EUR", "USD", 1.08, 1.09), ("USD", "JPY", 150.0, 150.2), ("GBP", "USD", 1.26, 1.27), ("AUD", "JPY", 98.0, 98.1), ("NOK", "SEK", 1.0, 1.01)]
 _FXV = ", ".join(f"('{a}', '{b}', CAST({(x + y) / 2!r} AS DOUBLE)), ('{b}', '{a}', CAST({2 / (x + y)!r} AS DOUBLE))" for a, b, x, y in _FX)
 R.add("fx_rates", lambda s, d: replay.exchange_rates(s, _FX).select("source", "target", "rate", "hops", "path"),
-      f"""WITH RECURSIVE e(f, t, r) AS (VALUES {_FXV}), p(source, target, rate, hops, path) AS (SELECT f, t, r, 1, f || '>' || t FROM e UNION ALL SELECT p.source, e.t, p.rate * e.r, p.hops + 1, p.path || '>' || e.t FROM p JOIN e ON p.target = e.f WHERE NOT contains(p.path, e.t) AND p.hops < 6)
+      f"""WITH RECURSIVE e(f, t, r) AS (VALUES {_FXV}), p(source, target, rate, hops, path, seen) AS (SELECT f, t, r, 1, f || '>' || t, [f, t] FROM e UNION ALL SELECT p.source, e.t, p.rate * e.r, p.hops + 1, p.path || '>' || e.t, list_append(p.seen, e.t) FROM p JOIN e ON p.target = e.f WHERE NOT list_contains(p.seen, e.t) AND p.hops < 6)
 SELECT source, target, round(rate, 6) AS rate, hops, path FROM p QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY hops, path) = 1""")
 R.add("fx_rollover", lambda s, d: table(s, d, "nation").select("n_nationkey", pricing.overnight_rate(F.col("n_nationkey") / 4.0, F.lit(2.0)).alias("rate")), "SELECT n_nationkey, round((n_nationkey / 4.0 - 2) / 365 / 100, 6) AS rate FROM nation")
 R.add("exec_spawn_totals", lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty"), F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(0.0)).alias("filled")).withColumn("leaves", F.col("qty") - F.col("filled")), "SELECT l_orderkey, sum(l_quantity) AS qty, sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END) AS filled, sum(l_quantity) - sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END) AS leaves FROM lineitem GROUP BY 1")
@@ -179,7 +179,11 @@ R.add("match_first_trigger", lambda s, d: replay.first_triggers(_limit_orders(s,
 SELECT o.instrument, order_id, min(t.ts) AS trigger_ts, round(first(t.price ORDER BY t.ts, t.seq), 6) AS trigger_px FROM o JOIN trades t ON t.instrument = o.instrument AND t.ts > o.ts AND CASE WHEN (kind = 'LIMIT') = (side = 1) THEN t.price <= o.price ELSE t.price >= o.price END GROUP BY 1, 2""")
 # every trade as an order; no SQL, as its inequality join meets all pairs: tests/test_whole.py has the brute force
 R.add("match_first_trigger_all", lambda s, d: replay.first_triggers(_as_orders(domain.trades(s, d)), domain.trades(s, d)))
-R.add("throttle_10_per_day", lambda s, d: replay.throttled(domain.trades(s, d).select("account", "ts", "seq"), 3, bars.DAY, "account").select("seq", "in_window", "allowed"), f"WITH {T} SELECT seq, count(*) OVER w AS in_window, count(*) OVER w <= 3 AS allowed FROM trades WINDOW w AS (PARTITION BY account ORDER BY ts RANGE BETWEEN {bars.DAY - 1} PRECEDING AND CURRENT ROW)")
+R.add("throttle_3_per_day", lambda s, d: replay.throttled(domain.trades(s, d).select("account", "ts", "seq"), 3, bars.DAY, "account", ["ts", "seq"]).select("seq", "sent", "allowed"),
+      f"""WITH RECURSIVE {T}, x AS (SELECT account, ts, seq, row_number() OVER (PARTITION BY account ORDER BY ts, seq) AS i FROM trades),
+f AS (SELECT account, seq, i, [ts] AS sent, true AS allowed FROM x WHERE i = 1 UNION ALL
+SELECT x.account, x.seq, x.i, CASE WHEN len(k.live) < 3 THEN list_append(k.live, x.ts) ELSE k.live END, len(k.live) < 3 FROM f JOIN x ON x.account = f.account AND x.i = f.i + 1, LATERAL (SELECT list_filter(f.sent, lambda t: x.ts - t < {bars.DAY}) AS live) k)
+SELECT seq, len(sent) AS sent, allowed FROM f""")
 R.add("fees_per_contract", lambda s, d: domain.fills(s, d).groupBy("account").agg(F.sum(wrangle.fee("per_contract", amount=1.25)).alias("fee")), f"WITH {FL} SELECT account, sum(qty * 1.25) AS fee FROM fills GROUP BY 1")
 R.add("fees_fixed_once", lambda s, d: domain.fills(s, d).groupBy("account").agg((F.countDistinct("order_id") * 2.5).alias("fee")), f"WITH {FL} SELECT account, count(DISTINCT order_id) * 2.5 AS fee FROM fills GROUP BY 1")
 
