@@ -6,6 +6,7 @@ import atexit
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 #: Words of most contracts: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step handles; it bounds a Python worker's memory.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+#: Rows of an Arrow batch in what ``stored`` runs.
+BATCH_ROWS = 2000
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -51,19 +55,27 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends here and survives lost executors.
 
     Nothing after the write reads its shuffles again, so their files are removed as soon as it is done.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickloom-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _settings(spark, **{_CLEANUP: "true", _BATCH: str(batch_rows)}):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _MADE.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -72,6 +84,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def placed(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """``columns`` of every row with its place, unique: ``file`` (a hash of its path) and ``row``. What is no plain scan of files is stored first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return placed(stored(docs.select(*columns), "rows"), "*")
+    at = docs.metadataColumn("_metadata")
+    return docs.select(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("row"), *columns)
+
+
 def crc_fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, mod ``folds``; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
