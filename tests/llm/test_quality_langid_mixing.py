@@ -73,10 +73,27 @@ def test_mix_against_brute_force(spark):
 
 
 def test_tree_gives_every_block_once(spark):
-    plan = [{"number": 1, "first": 50_000, "rest": 20_000}, {"number": 2, "first": 3_000, "rest": 0}]
-    rows = mixing.drawn_blocks(spark, plan, 100, 2_000, 5).collect()
-    seen = Counter((r.number, r["pass"], r.block) for r in rows)
-    assert set(seen.values()) == {1} and len(rows) == 500 + 200 + 30
+    quotas = {(1, 0): 500, (1, 1): 200, (2, 0): 30}
+    rows = mixing.drawn_blocks(spark, quotas, 37, 5).collect()
+    seen = Counter((r.number, r["pass"], r.nth) for r in rows)
+    assert set(seen.values()) == {1} and set(seen) == {(n, e, k) for (n, e), q in quotas.items() for k in range(q)}
     shards = Counter(r.shard for r in rows)
     assert len(shards) == 37 and max(shards.values()) - min(shards.values()) <= 2
-    assert sorted(mixing.permuted(np.arange(1000), 1000, 3)) == list(range(1000))
+    other = Counter((r.number, r["pass"], r.shard) for r in mixing.drawn_blocks(spark, quotas, 37, 6).collect())
+    assert other != Counter((r.number, r["pass"], r.shard) for r in rows)
+
+
+def test_draws_follow_the_tree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = mixing.placed(docs, "doc_id", "source", "text")
+    whole, few = (mixing.mix(rows, shard_words=w)[1].collect() for w in (1 << 30, 20_000))
+    assert {(r.row, r["pass"]): r.words for r in whole} == {(r.row, r["pass"]): r.words for r in few}
+    assert {r.shard for r in whole} == {0} and len({r.shard for r in few}) > 5
+    for got in (whole, few):
+        for shard in {r.shard for r in got}:
+            places = sorted(r.place for r in got if r.shard == shard)
+            assert places == list(range(1, len(places) + 1))
+    words = Counter()
+    for r in few:
+        words[r.shard] += r.words
+    assert max(words.values()) < 2 * 20_000 + 20_000

@@ -21,10 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": _over_documents(bpe.op3_byte_bpe),
     "op4_huffman_ids": _over_documents(huffman.op4_huffman_ids),
     "op5_mix_sources": _over_documents(mixing.op5_mix_sources),
+    "mix_taken_words": _over_documents(mixing.taken_words),
     "op6_pii_pseudonyms": _over_documents(pii.op6_pii_pseudonyms),
     "op7_licence_scan": _over_documents(licences.op7_licence_scan),
     "op8_audio_features": _over_documents(audio.op8_audio_features),
     "op9_language_id": _over_documents(langid.op9_language_id),
 }
 
-ORACLE: dict[str, str] = {"op5_mix_sources": mixing.OP5_SQL}
+ORACLE: dict[str, str] = {"mix_taken_words": mixing.TAKEN_SQL}
