@@ -21,6 +21,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ KINDS = ("email", "secret", "iban", "card", "ip", "ssn", "phone", "date")
 _FIRST_DAY, _DAYS = dt.date(1900, 1, 1).toordinal(), 73_049  # to the end of 2099
 
 _FORMS = {
-    "email": r"""(?<![\w.+%-])[A-Za-z0-9][\w.%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}""",
+    "email": r"""(?<![\w.+%-])\w[\w.%+-]*@(?:[\w-]+\.)+(?:xn--[\w-]+|[^\W\d_]{2,})""",
     "secret": r"""(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token)["']?[ \t]*[=:][ \t]*["']?[A-Za-z0-9][A-Za-z0-9_+/=-]{7,}""",
     "iban": r"""(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])""",
     "ip": r"""(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)""",
@@ -48,8 +49,8 @@ _FORMS = {
 _ORDER = tuple(_FORMS)
 _ALONE = {k: re.compile(f) for k, f in _FORMS.items()}
 _PATTERN, _NO_SECRET = (re.compile("|".join(f"(?P<{k}>{f})" for k, f in _FORMS.items() if k != skip)) for skip in ("", "secret"))
-#: Kinds of plain digits with a check, and more characters than any match but a secret has.
-_NUMBERS, _LONGEST = ("ip", "ssn", "date", "card"), 700
+#: Kinds of plain digits with a check; how an address goes on that begins before some place.
+_NUMBERS, _ADDRESS_REST = ("ip", "ssn", "date", "card"), re.compile(r"[\w.%+-]*@[\w.-]*")
 _FOREIGN_DIGIT = re.compile(r"(?![0-9])\d")
 #: IBAN lengths by country, as registered.
 _IBAN_LENGTH = {c: n for n, cs in {
@@ -107,15 +108,28 @@ def _digits_in(form: str, digits: str) -> str:
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+@lru_cache(10_000)
+def _alphabet(ch: str) -> tuple[str, str]:
+    """Name and members of the class of a letter beyond ASCII: the letters of its case among the 128 code points around it, lone ones with all cases."""
+    block = [chr(c) for c in range(ord(ch) & ~127, (ord(ch) | 127) + 1)]
+    same = [c for c in block if c.isalpha() and unicodedata.category(c) == unicodedata.category(ch)]
+    return f"{ord(ch) >> 7}{unicodedata.category(ch)}", "".join(same)
+
+
 def by_class(value: str, tweak: bytes, key: bytes, classes: tuple[str, ...] = _CLASSES) -> str:
-    """Every character stays in its class; the value as a whole is one number in mixed radix."""
-    place = [next((c for c in classes if ch in c), None) for ch in value]
+    """Every letter and digit stays in its class (beyond ASCII: letters of its script and case); the value as a whole is one number in mixed radix."""
+    place, shape = [], []
+    for ch in value:
+        name, c = next(((str(i), c) for i, c in enumerate(classes) if ch in c), ("", None))
+        if c is None and not ch.isascii() and ch.isalpha():
+            name, c = _alphabet(ch)
+        place.append(c)
+        shape.append(name)
     x, n = 0, 1
     for ch, c in zip(value, place, strict=True):
         if c:
             x, n = x * len(c) + c.index(ch), n * len(c)
-    shape = bytes(0 if c is None else 1 + classes.index(c) for c in place)
-    y = permute(x, n, tweak + shape, key)
+    y = permute(x, n, tweak + ",".join(shape).encode(), key)
     out = []
     for ch, c in zip(reversed(value), reversed(place), strict=True):
         if c:
@@ -196,6 +210,11 @@ def phone(value: str, key: bytes) -> str | None:
 
 
 def date(value: str, key: bytes) -> str | None:
+    """A day of 1900 to 2099 in the value's own order of parts.
+
+    With slashes month first where that is a day, else day first; a day-first value stays one that is no day month first, so the two
+    never meet. Unpadded parts stay of one digit: the permutation of days is walked until the form fits.
+    """
     mark = re.search(r"\D", value)[0]
     a, b, c = value.split(mark)
     orders = [("ymd", (a, b, c))] if len(a) == 4 else [("mdy", (c, a, b)), ("dmy", (c, b, a))] if mark == "/" else [("dmy", (c, b, a))]
@@ -206,8 +225,9 @@ def date(value: str, key: bytes) -> str | None:
             continue
         if not 0 <= at < _DAYS:
             return None
+        only = mark == "/" and order == "dmy"
         new = None
-        while new is None or (len(m) == 1 and new.month > 9) or (len(d) == 1 and new.day > 9):  # walks on inside the permutation until the form fits
+        while new is None or (len(m) == 1 and new.month > 9) or (len(d) == 1 and new.day > 9) or (only and new.day < 13):
             at = permute(at, _DAYS, b"date", key)
             new = dt.date.fromordinal(at + _FIRST_DAY)
         part = {"y": f"{new.year:04d}", "m": f"{new.month:0{len(m)}d}", "d": f"{new.day:0{len(d)}d}"}
@@ -280,7 +300,8 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
 
     while True:
         if pos < failed_secret:  # a key's value without digits hides no other key's and no number, only an address
-            m = _NO_SECRET.search(folded, pos, failed_secret + _LONGEST) if "@" in folded[failed_secret : failed_secret + 64] else None
+            rest = _ADDRESS_REST.match(folded, failed_secret)
+            m = _NO_SECRET.search(folded, pos, rest.end()) if rest else None
             if m is None or m.start() >= failed_secret:
                 pos = failed_secret
                 continue
