@@ -42,6 +42,14 @@ NOTICE_PHRASES = {
     "creative commons": "cc",
     "public domain": "public-domain",
     "the unlicense": "unlicense",
+    "artistic license": "artistic",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "gnu free documentation license": "gfdl",
+    "open database license": "odbl",
+    "sil open font license": "ofl",
+    "python software foundation license": "psf",
+    "zlib license": "zlib",
     "all rights reserved": "proprietary",
 }
 TAG = "spdx license identifier"
@@ -49,7 +57,9 @@ TAG = "spdx license identifier"
 FAMILIES = (
     ("mit", "mit", 2), ("apache", "apache", 2), ("bsd", "bsd", 2), ("0bsd", "bsd", 2), ("isc", "isc", 2), ("bsl", "bsl", 2),
     ("unlicense", "unlicense", 2), ("zlib", "zlib", 2), ("cc0", "cc", 2), ("cc-by", "cc", 1), ("lgpl", "lgpl", 1), ("mpl", "mpl", 1),
-    ("epl", "epl", 1), ("agpl", "agpl", 0), ("gpl", "gpl", 0),
+    ("epl", "epl", 1), ("agpl", "agpl", 0), ("gpl", "gpl", 0), ("artistic", "artistic", 2), ("afl", "afl", 2), ("cddl", "cddl", 1),
+    ("cecill", "cecill", 0), ("eupl", "eupl", 0), ("gfdl", "gfdl", 0), ("odbl", "odbl", 1), ("ofl", "ofl", 1), ("osl", "osl", 0),
+    ("postgresql", "postgresql", 2), ("psf", "psf", 2), ("python", "psf", 2), ("ruby", "ruby", 2), ("unicode", "unicode", 2), ("wtfpl", "wtfpl", 2), ("x11", "mit", 2),
 )
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: What follows a tag, to the end of its line or the line's next tag.
@@ -206,4 +216,4 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 def op7_licence_scan(docs: DataFrame) -> DataFrame:
     """The thin query."""
-    return scan_documents(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return scan_documents(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "exceptions", "freedom")
