@@ -42,7 +42,7 @@ def test_round_trip_and_spans(spark):
         payload, used, rate = audio.load(audio.store(audio.pad(text), len(text)))
         assert payload[:used] == text and len(payload) % 64 == 0 and payload and not payload[used:].strip(b"\0") and rate == audio.RATE
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 40), (3, "é" * 40), (4, "z" * 50_000)], "doc_id long, text string")
-    got = {r.doc_id: r for r in audio.media_columns(rows).collect()}
+    got = {r.doc_id: r for r in audio.media_features(audio.stored(audio.media_files(rows), "media")).collect()}
     assert got[1].payload_bytes == 64 == got[2].payload_bytes and got[3].n_bytes == 80 and got[3].payload_bytes == 128
     want = audio.pad("é".encode() * 40)
     assert got[3].payload_sha256 == hashlib.sha256(want).hexdigest() and got[3].tail_crc32 == zlib.crc32(want[-64:])
@@ -60,3 +60,32 @@ def test_resampling_keeps_a_tone_and_hysteresis_holds():
     assert len(up) == 24_000 and np.abs(up[200:-200] - want[200:-200]).max() < 0.01
     e = np.array([0, 0, 5, 0.2, 5, -5, 0, 0, 0, 0.0])
     assert audio.active_spans(e, 1.0) == [(2.0, 5.0)]
+
+
+def test_polyphase_against_plain_filtering():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=1000).astype(np.float32)
+    up, down, half = 3, 4, audio.TAPS * 4
+    t = np.arange(-half, half + 1)
+    h = np.sinc(t / 4) * np.hanning(2 * half + 3)[1:-1]
+    h *= up / h.sum()
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = x
+    plain = np.convolve(stuffed, h)[half : half + len(stuffed)][::down]
+    assert audio.TARGET * 4 == audio.RATE * 3 and np.allclose(audio.resample(x, audio.TARGET, audio.RATE), plain, atol=1e-4)
+
+
+def test_query_against_files_described_one_by_one(spark):
+    import hashlib
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30).cache()
+    got = {r.doc_id: r for r in audio.op8_audio_features(docs).collect()}
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        full = data + b"\0" * (-len(data) % 64 or (64 if not data else 0))
+        file = audio.store(full, len(data))
+        g = got[r.doc_id]
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256) == (len(data), len(full), hashlib.sha256(full).hexdigest())
+        assert (g.tail_crc32, g.media_bytes, g.media_sha256) == (zlib.crc32(full[-64:]), len(file), hashlib.sha256(file).hexdigest())
+        assert g.feature == audio.describe(file)[6]

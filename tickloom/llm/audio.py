@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import map_batches, utf8
+from tickloom.llm.common import map_batches, stored, utf8
 
-RATE, TARGET = 16_000, 8_000
+RATE, TARGET = 16_000, 12_000
 FRAME, HOP, MELS, FRAMES = 256, 128, 20, 32
 TAPS = 12  # filter taps each side, per phase
 UNIT = 64
@@ -169,40 +169,46 @@ def from_ipc(data: bytes) -> pa.Table:
 COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def describe(text: bytes, full: bool = False) -> tuple:
-    file = store(pad(text), len(text))
+def describe(file: bytes) -> tuple:
+    """COLUMNS of a stored file, its tensors (Arrow IPC) and its active spans."""
     payload, used, rate = load(file)
     tensor, spans, active = features(payload, rate)
-    ipc = to_ipc(as_arrow(tensor, spans)) if full else None
     digest = f"{len(tensor)}x{FRAMES}x{MELS}:{spans[-1][1]:.4f}s:{len(active)}:{zlib.crc32(np.round(tensor, 1).tobytes()):08x}"
     row = (used, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), digest)
-    return (*row, file, ipc, active) if full else row
+    return (*row, to_ipc(as_arrow(tensor, spans)), [{"start_s": a, "end_s": b} for a, b in active])
 
 
-def media_columns(docs: DataFrame, full: bool = True) -> DataFrame:
-    """doc_id and COLUMNS; with ``full`` also media (the file), tensors (Arrow IPC) and active spans."""
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}"
-    if full:
-        names += ["media", "tensors", "active"]
-        span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
-        types += [pa.binary(), pa.binary(), pa.list_(span)]
-        schema += ", media binary, tensors binary, active array<struct<start_s: double, end_s: double>>"
+def media_files(docs: DataFrame) -> DataFrame:
+    """doc_id and media: each text's WAVE file."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [describe(t or b"", full) for t in utf8(batch.column(1))]
-            if full:
-                rows = [(*r[:-1], [{"start_s": a, "end_s": b} for a, b in r[-1]]) for r in rows]
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *names])
+            files = [store(pad(t or b""), len(t or b"")) for t in utf8(batch.column(1))]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=["doc_id", "media"])
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), make, schema)
+    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
+
+
+def media_features(files: DataFrame) -> DataFrame:
+    """doc_id, COLUMNS, tensors (Arrow IPC: fixed-shape tensors with time spans) and active spans of stored files (doc_id, media)."""
+    names = [c.split()[0] for c in COLUMNS.split(", ")] + ["tensors", "active"]
+    span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(span)]
+    schema = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, {COLUMNS}, tensors binary, active array<struct<start_s: double, end_s: double>>"
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [describe(f) for f in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]], names=["doc_id", *names])
+
+        return step
+
+    return map_batches(files.select("doc_id", "media"), make, schema)
 
 
 def op8_audio_features(docs: DataFrame) -> DataFrame:
-    """The thin query."""
-    return media_columns(docs, full=False)
+    """The thin query: files are written, read back and described; their tensors and spans are written; the digests come from there."""
+    made = stored(media_features(stored(media_files(docs), "media")), "media-features")
+    return made.select("doc_id", *[c.split()[0] for c in COLUMNS.split(", ")])
