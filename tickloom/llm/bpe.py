@@ -30,8 +30,8 @@ from tickloom.llm.common import map_batches
 
 #: Pieces longer than this get a tree of their own.
 LONGEST_ROW = 64
-#: Chunks a worker remembers.
-CACHE_ENTRIES = 500_000
+#: Bytes of the chunks that each of a worker's two caches remembers, about: a chunk, its ids and its place.
+CACHE_BYTES = 128 << 20
 _NONE = np.int64(1 << 60)
 _RUN = re.compile(r"\s\s|\A\s|\s\Z")
 
@@ -59,6 +59,7 @@ class ByteBpe:
         self.pairs = dict(zip(self.pair_key.tolist(), self.pair_rank.tolist(), strict=True))
         self.lead: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.held = {" ": 0, "": 0}
 
     # merging ---------------------------------------------------------------
 
@@ -186,8 +187,11 @@ class ByteBpe:
 
     def _learn(self, lead: set[str], bare: set[str]) -> None:
         for cache, chunks, prefix in ((self.lead, list(lead), " "), (self.bare, list(bare), "")):
-            if len(cache) + len(chunks) > CACHE_ENTRIES:
+            cost = sum(map(len, chunks)) * 5 + 250 * len(chunks)
+            if self.held[prefix] + cost > CACHE_BYTES:
                 cache.clear()
+                self.held[prefix] = 0
+            self.held[prefix] += cost
             pieces, ends = [], []
             for c in chunks:
                 pieces += [m.encode() for m in self.pattern.findall(prefix + c)]

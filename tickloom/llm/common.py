@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step handles; it bounds a Python worker's memory.
 STEP_BYTES = 1 << 20
-#: Rows of an Arrow batch in what ``stored`` runs.
-BATCH_ROWS = 2000
+#: Rows of an Arrow batch, which bound what a task holds of long texts: set for a session that names no number of its own.
+BATCH_ROWS = 1000
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -120,7 +120,9 @@ def steps(texts: list[bytes | None], limit: int = STEP_BYTES) -> Iterator[slice]
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow with per-task state: ``make()`` runs once a task and gives the function for its batches."""
+    """mapInArrow with per-task state: ``make()`` runs once a task and gives the function for its batches (of BATCH_ROWS, unless the session names a number)."""
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()

@@ -79,6 +79,8 @@ SAMPLE, COMMON = 48, 1024
 PAIR_COST = 40
 #: Text of centres that is broadcast, at most.
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch that hold two texts or a packed block; signatures of the blocks that a task makes at once; sets it remembers to have sent.
+WIDE_ROWS, FLUSH, REMEMBERED = 200, 1 << 19, 200_000
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
 #: Multipliers of a shingle's words, by place; shingles of up to as many words.
@@ -350,7 +352,7 @@ def index(docs: DataFrame, bands: list[Band], parts: int, rule: Rule) -> DataFra
                     sid = set_id(x)
                     if not len(x) or sid in seen:
                         continue
-                    if len(seen) >= 500_000:
+                    if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(sid)
                     own = int(np.searchsorted(lows, len(x), side="right")) - 1
@@ -365,7 +367,7 @@ def index(docs: DataFrame, bands: list[Band], parts: int, rule: Rule) -> DataFra
                         sids.append(sid)
                         slack.append((bands[own].slack, bands[own - 1].slack if own else 0))
                         total += len(values[-1])
-                    if len(sids) >= BLOCK_DOCS or total >= 1 << 20:
+                    if len(sids) >= BLOCK_DOCS or total >= FLUSH:
                         yield flush()
                         total = 0
         if sids:
@@ -464,7 +466,7 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
     wanted = near.select(F.col("a").alias("w")).union(near.select("b")).distinct()
     own = texts.join(wanted, F.col("sid") == F.col("w"), "left_semi")
-    return stored(_filtered(_joined(near, own, "text"), by_words).select("a", "b"), "links")
+    return stored(_filtered(_joined(near, own, "text"), by_words).select("a", "b"), "links", WIDE_ROWS)
 
 
 def _with_component(rows: DataFrame, comps: DataFrame, key: str, name: str) -> DataFrame:
@@ -539,7 +541,7 @@ def refined(rows: DataFrame, texts: DataFrame, rule: Rule, parts: int) -> DataFr
                     place.append(np.where(np.arange(len(at)) < index, 0, 0x8000) | len(sids))
                     sids.append(own_sids[i])
                     total += len(at)
-                    if len(sids) >= BLOCK_DOCS or total >= 1 << 20:
+                    if len(sids) >= BLOCK_DOCS or total >= FLUSH:
                         yield _pack(sids, [(0, 0)] * len(sids), np.concatenate(values), np.concatenate(place), parts)
                         sids, values, place, total = [], [], [], 0
         if sids:
@@ -550,7 +552,7 @@ def refined(rows: DataFrame, texts: DataFrame, rule: Rule, parts: int) -> DataFr
 
 def _members(blocks: DataFrame, parts: int, frequent: int) -> DataFrame:
     """key, sid and probe of the sets in buckets, from packed blocks; a set whose frequent signatures can't decide a link leaves those out."""
-    buckets = stored(blocks.repartition(parts, "part").mapInArrow(lambda batches: _buckets(batches, frequent), _BUCKETS), "buckets")
+    buckets = stored(blocks.repartition(parts, "part").mapInArrow(lambda batches: _buckets(batches, frequent), _BUCKETS), "buckets", WIDE_ROWS)
     small = buckets.where("g IS NOT NULL").groupBy("g").agg(F.first("low").alias("low"), F.first("up").alias("up"))
     often = buckets.where("g IS NULL").select("key", "sid", "upper", "exact", "slack")
     weight = often.where("exact").groupBy(F.col("sid").alias("s"), F.col("upper").alias("u")).agg(F.count("*").alias("z"))
