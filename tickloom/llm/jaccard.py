@@ -271,7 +271,7 @@ def _buckets(batches, most: int):
             s = slice(a, a + 200_000)
             yield frame(key=key[s], sid=sid[s], upper=upper[s], exact=exact[s], slack=slack[s])
 
-    limit = 4 * PARTITION_ROWS
+    limit = PARTITION_ROWS + PARTITION_ROWS // 2
     for batch in batches:
         for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held.append(_unpack(part, block))
