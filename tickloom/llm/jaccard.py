@@ -70,7 +70,7 @@ QUERY, STAGE = Rule(4, 85), Rule(5, 80)
 #: Sets that share a signature from which it counts as frequent.
 FREQUENT = 64
 #: Signatures a partition of the index holds, about; documents of one packed block.
-PARTITION_ROWS, BLOCK_DOCS = 1_000_000, 4096
+PARTITION_ROWS, BLOCK_DOCS = 400_000, 4096
 #: Sets outside the largest component of a bucket that is settled pair by pair, at least (at most as many as the rows that would index a set anew); how often others are indexed anew.
 SMALL, LEVELS = 4, 6
 #: Sets of a centre by which the order of their differences from it is made, and members it knows (any order gives the same result).
@@ -247,10 +247,11 @@ def _buckets(batches, most: int):
     def frame(**given) -> pa.RecordBatch:
         n = len(next(iter(given.values())))
         kinds = {"g": pa.int64(), "low": lists, "up": lists, "key": pa.int64(), "sid": pa.int64(), "upper": pa.bool_(), "exact": pa.bool_(), "slack": pa.int64()}
-        return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if k not in given else given[k] if isinstance(given[k], pa.Array) else pa.array(given[k], t) for k, t in kinds.items()], names=list(kinds))
 
     def ordered():
         key, sid, upper, exact, slack = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         o = np.lexsort((sid, key))
         key, sid, upper, exact, slack = (x[o] for x in (key, sid, upper, exact, slack))
         new = np.ones(len(key), bool)
@@ -301,14 +302,16 @@ def _buckets(batches, most: int):
         return
     _, one = np.unique(content[good], return_index=True)
     good = good[one]
-    for a in range(0, len(good), 50_000):
-        part = good[a : a + 50_000]
-        low, up = [], []
-        for f, n in zip(first[part].tolist(), size[part].tolist(), strict=True):
-            s, u = sid[f : f + n], upper[f : f + n]
-            low.append(s[~u].tolist())
-            up.append(s[u].tolist())
-        yield frame(g=content[part].view(np.int64), low=low, up=up)
+    for a in range(0, len(good), 20_000):
+        part = good[a : a + 20_000]
+        n = size[part]
+        at = np.arange(n.sum()) + np.repeat(first[part] - (np.cumsum(n) - n), n)
+        owner, s, u = np.repeat(np.arange(len(part)), n), sid[at], upper[at]
+        cols = {}
+        for name, own in (("low", ~u), ("up", u)):
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[own], minlength=len(part)))]).astype(np.int32)
+            cols[name] = pa.ListArray.from_arrays(pa.array(ends), pa.array(s[own]))
+        yield frame(g=content[part].view(np.int64), **cols)
 
 
 def described(docs: DataFrame, rule: Rule) -> DataFrame:
