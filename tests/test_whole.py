@@ -21,12 +21,12 @@ def test_every_trade_is_matched_as_an_order(spark):
             hit = next((t for t in trades[i + 1 :] if t.ts > o.ts and (t.price <= price if falls else t.price >= price)), None)
             if hit is not None:
                 want[o.instrument, o.seq] = hit.ts, round(hit.price, 6)
-    got = catalogue.QUERIES["match_first_trigger_all"](spark, SF).collect()
+    got = catalogue.QUERIES["match_first_trigger"](spark, SF).collect()
     assert {(r.instrument, r.order_id): (r.trigger_ts, r.trigger_px) for r in got} == want and len(got) == len(want)
 
 
 def test_intervals_cover_every_trade(spark):
-    got = {(r.instrument, r.file): (r.start, r.end) for r in catalogue.QUERIES["catalog_intervals_all"](spark, SF).collect()}
+    got = {(r.instrument, r.file): (r.start, r.end) for r in catalogue.QUERIES["catalog_intervals"](spark, SF).collect()}
     half = 12 * 3600 * 10**9
     trades = domain.trades(spark, SF).collect()
     assert all(got[t.instrument, t.ts // half][0] <= t.ts <= got[t.instrument, t.ts // half][1] for t in trades)
@@ -34,10 +34,10 @@ def test_intervals_cover_every_trade(spark):
 
 
 def test_all_own_buys_leave_the_book(spark):
-    left = catalogue.QUERIES["book_without_own_buys"](spark, SF).collect()
+    left = catalogue.QUERIES["book_without_own"](spark, SF).collect()
     assert left and {r.side for r in left} == {"SELL"}
-    open_ids = {r.order_id for r in catalogue.QUERIES["book_open_orders"](spark, SF).where("side = 'BUY'").collect()}
-    assert {r.order_id for r in catalogue.QUERIES["book_audit_open_buys"](spark, SF).collect()} == open_ids
+    open_ids = {r.order_id for r in catalogue.QUERIES["book_open_orders"](spark, SF).collect()}
+    assert {r.order_id for r in catalogue.QUERIES["book_audit_open"](spark, SF).collect()} == open_ids
 
 
 def test_pool_events_other_than_burns_take_no_liquidity():

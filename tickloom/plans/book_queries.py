@@ -41,9 +41,7 @@ R.add("book_depth_5", lambda s, d: book.depth(lv(s, d), 5), _sql("SELECT instrum
 R.add("book_grouped_5_top3", lambda s, d: book.grouped(lv(s, d), 5.0, 3),
       _sql(""", g AS (SELECT instrument, side, CASE side WHEN 'BUY' THEN floor(price / 5) ELSE ceil(price / 5) END * 5 AS price, sum(size) AS size FROM levels GROUP BY 1, 2, 3)
 SELECT instrument, side, price, size FROM g QUALIFY row_number() OVER (PARTITION BY instrument, side ORDER BY CASE side WHEN 'BUY' THEN -price ELSE price END) <= 3""").replace(") , g", "), g"))
-R.add("book_without_own", lambda s, d: book.without_own(lv(s, d), orders(s, d).where("order_id % 3 = 0")),
-      _sql(", own AS (SELECT instrument, side, price, sum(size) AS own FROM orders_ WHERE order_id % 3 = 0 GROUP BY 1, 2, 3) SELECT instrument, side, price, greatest(size - coalesce(own, 0), 0) AS size, orders FROM levels LEFT JOIN own USING (instrument, side, price) WHERE size - coalesce(own, 0) > 0"))
-R.add("book_without_own_buys", lambda s, d: book.without_own(lv(s, d), orders(s, d).where("side = 'BUY'")),
+R.add("book_without_own", lambda s, d: book.without_own(lv(s, d), orders(s, d).where("side = 'BUY'")),
       _sql(", own AS (SELECT instrument, side, price, sum(size) AS own FROM orders_ WHERE side = 'BUY' GROUP BY 1, 2, 3) SELECT instrument, side, price, greatest(size - coalesce(own, 0), 0) AS size, orders FROM levels LEFT JOIN own USING (instrument, side, price) WHERE size - coalesce(own, 0) > 0"))
 R.add("book_quantity_for_price", lambda s, d: book.quantity_for_price(lv(s, d), 100.0), _sql("SELECT instrument, coalesce(sum(size) FILTER (side = 'SELL' AND price <= 100), 0) AS buy_qty, coalesce(sum(size) FILTER (side = 'BUY' AND price >= 100), 0) AS sell_qty FROM levels GROUP BY 1"))
 R.add("book_sweep_120", lambda s, d: book.sweep(lv(s, d), 120.0), _sql(", k AS (SELECT *, least(size, greatest(120 - (upto - size), 0)) AS take FROM ranked) SELECT instrument, side, round(sum(price * take) / sum(take), 6) AS avg_px, sum(take) AS qty FROM k WHERE take > 0 GROUP BY 1, 2"))
@@ -56,8 +54,7 @@ R.add("book_integrity", lambda s, d: book.integrity(lv(s, d)), _sql(f", {_TOP},
 R.add("book_exposure", lambda s, d: book.exposure(lv(s, d)), _sql("SELECT instrument, side, sum(size) AS size, round(sum(size * price), 6) AS exposure FROM levels GROUP BY 1, 2"))
 R.add("book_batches", lambda s, d: book.batches(domain.deltas(s, d)).groupBy("instrument", "batch").count().withColumnRenamed("count", "n"),
       f"WITH {domain.DELTAS_SQL}, b AS (SELECT instrument, coalesce(sum(CAST(last AS BIGINT)) OVER (PARTITION BY instrument ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS batch FROM deltas) SELECT instrument, CAST(batch AS BIGINT) AS batch, count(*) AS n FROM b GROUP BY 1, 2")
-R.add("book_audit_open", lambda s, d: book.audit_open(domain.deltas(s, d).where("order_id % 3 = 0").select("order_id", "instrument").distinct(), orders(s, d).select("order_id")), _sql("SELECT DISTINCT order_id, instrument FROM deltas WHERE order_id % 3 = 0 AND order_id IN (SELECT order_id FROM orders_)"))
-R.add("book_audit_open_buys", lambda s, d: book.audit_open(domain.deltas(s, d).where("side = 'BUY'").select("order_id", "instrument").distinct(), orders(s, d).select("order_id")), _sql("SELECT DISTINCT order_id, instrument FROM deltas WHERE side = 'BUY' AND order_id IN (SELECT order_id FROM orders_)"))
+R.add("book_audit_open", lambda s, d: book.audit_open(domain.deltas(s, d).select("order_id", "instrument").distinct(), orders(s, d).select("order_id")), _sql("SELECT DISTINCT order_id, instrument FROM deltas WHERE order_id IN (SELECT order_id FROM orders_)"))
 R.add("book_depth_round_trip", lambda s, d: book.from_depth(book.depth_arrays(lv(s, d), 10).withColumn("ts", F.lit(0)).withColumn("seq", F.lit(0))), _sql("SELECT instrument, side, price, size, orders FROM ranked WHERE level <= 10"))
 SNAP = 6 * 3600 * 10**9
 

@@ -73,9 +73,35 @@ def _events(s, d):
     return domain.trades(s, d).select(F.col("account").alias("order_id"), "ts", "seq", name.alias("event"), name.alias("state"))
 
 
-R.add("order_state_fold", lambda s, d: folds.fold(_events(s, d).withColumn("share", F.lit(1.0)), execution.OrderState, ["order_id"], ["ts", "seq"], ["event", "share"], "state string, allowed boolean"))
-R.add("session_next_start", lambda s, d: domain.trades(s, d).select("seq", F.timestamp_micros(F.expr("ts div 1000")).alias("t")).select("seq", *[F.unix_seconds(calendar.session_start(n, F.col("t"))).alias(n) for n in calendar.SESSIONS]))
-R.add("session_previous_end", lambda s, d: domain.trades(s, d).select("seq", F.timestamp_micros(F.expr("ts div 1000")).alias("t")).select("seq", *[F.unix_seconds(calendar.session_end(n, F.col("t"), False)).alias(n) for n in calendar.SESSIONS]))
+R.add("order_state_fold", lambda s, d: folds.fold(_events(s, d).withColumn("share", F.lit(1.0)), execution.OrderState, ["order_id"], ["ts", "seq"], ["event", "share"], "state string, allowed boolean"),
+      f"""WITH RECURSIVE {T}, e AS (SELECT account AS order_id, ts, seq, {_EVENT} AS event, row_number() OVER (PARTITION BY account ORDER BY ts, seq) AS i FROM trades),
+a(s, e, t) AS (VALUES {', '.join(f"('{k.split('>')[0]}', '{k.split('>')[1]}', '{to}')" for k, to in sorted(execution._table().items()))}),
+f AS (SELECT order_id, CAST(NULL AS BIGINT) AS ts, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS i, 'INITIALIZED' AS state, true AS allowed FROM e WHERE i = 1 UNION ALL
+SELECT e.order_id, e.ts, e.seq, e.i, coalesce(a.t, f.state), a.t IS NOT NULL FROM f JOIN e ON e.order_id = f.order_id AND e.i = f.i + 1 LEFT JOIN a ON a.s = f.state AND a.e = e.event)
+SELECT order_id, ts, seq, state, allowed FROM f WHERE i > 0""")
+
+
+def _session_sql(which: int, following: bool) -> str:
+    """A session's opening (1) or close (2) in seconds of UTC: the zone's own weekday and hour, on or after (before) the trade's local time."""
+    cols = []
+    for name, session in calendar.SESSIONS.items():
+        zone, hour = session[0], session[which]
+        local = f"timezone('{zone}', make_timestamptz(ts // 1000))"
+        at = f"date_trunc('day', {local}) + INTERVAL {hour} HOUR"
+        if following:
+            day = f"{at} + CASE WHEN {local} > {at} THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END"
+            skip = f"CASE isodow({day}) WHEN 6 THEN INTERVAL 2 DAY WHEN 7 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END"
+            day = f"{day} + {skip}"
+        else:
+            day = f"{at} - CASE WHEN {local} < {at} THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END"
+            skip = f"CASE isodow({day}) WHEN 6 THEN INTERVAL 1 DAY WHEN 7 THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END"
+            day = f"{day} - {skip}"
+        cols.append(f"CAST(epoch(timezone('{zone}', {day})) AS BIGINT) AS {name}")
+    return f"WITH {T} SELECT seq, {', '.join(cols)} FROM trades"
+
+
+R.add("session_next_start", lambda s, d: domain.trades(s, d).select("seq", F.timestamp_micros(F.expr("ts div 1000")).alias("t")).select("seq", *[F.unix_seconds(calendar.session_start(n, F.col("t"))).alias(n) for n in calendar.SESSIONS]), _session_sql(1, True))
+R.add("session_previous_end", lambda s, d: domain.trades(s, d).select("seq", F.timestamp_micros(F.expr("ts div 1000")).alias("t")).select("seq", *[F.unix_seconds(calendar.session_end(n, F.col("t"), False)).alias(n) for n in calendar.SESSIONS]), _session_sql(2, False))
 
 
 def _pool_events(s, d):
@@ -90,7 +116,16 @@ def _pool_events(s, d):
 
 
 R.add("amm_pool_fold", lambda s, d: folds.fold(_pool_events(s, d), lambda: amm.Pool(amm.Q96), ["account"], ["ts", "seq"], ["kind", "lower", "upper", "liquidity", "amount", "zero_for_one"], amm.POOL_DDL))
-R.add("bet_position_fold", lambda s, d: folds.fold(domain.trades(s, d).where("size > 0").select("account", "ts", "seq", F.when(F.col("aggressor") == 1, 1).otherwise(-1).alias("side"), (1 + F.col("price") / 50).alias("odds"), "size"), folds.BetPosition, ["account"], ["ts", "seq"], ["side", "odds", "size"], "price double, exposure double, pnl double"))
+R.add("bet_position_fold", lambda s, d: folds.fold(domain.trades(s, d).where("size > 0").select("account", "ts", "seq", F.when(F.col("aggressor") == 1, 1).otherwise(-1).alias("side"), (1 + F.col("price") / 50).alias("odds"), "size"), folds.BetPosition, ["account"], ["ts", "seq"], ["side", "odds", "size"], "price double, exposure double, pnl double"),
+      f"""WITH RECURSIVE {T}, x AS (SELECT account, ts, seq, CASE WHEN aggressor = 1 THEN 1 ELSE -1 END AS side, 1 + price / 50 AS odds, size, row_number() OVER (PARTITION BY account ORDER BY ts, seq) AS i FROM trades WHERE size > 0),
+f AS (SELECT account, CAST(NULL AS BIGINT) AS ts, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS i, 0::DOUBLE AS price, 0::DOUBLE AS exposure, 0::DOUBLE AS pnl FROM x WHERE i = 1 UNION ALL
+SELECT x.account, x.ts, x.seq, x.i,
+CASE WHEN f.exposure = 0 THEN x.odds WHEN same THEN f.price WHEN flips THEN x.odds WHEN flat THEN 0 ELSE f.price END,
+CASE WHEN same THEN f.exposure + bet WHEN flips THEN x.side * (abs(bet) - closing) WHEN flat THEN 0 ELSE f.exposure + x.side * closing END,
+CASE WHEN same THEN f.pnl ELSE f.pnl - x.side * (closing / x.odds - closing / f.price) END
+FROM f JOIN x ON x.account = f.account AND x.i = f.i + 1, LATERAL (SELECT x.side * x.odds * x.size AS bet) b,
+LATERAL (SELECT f.exposure = 0 OR (f.exposure > 0) = (bet > 0) AS same, least(abs(bet), abs(f.exposure)) AS closing) c, LATERAL (SELECT abs(bet) - closing > 1e-12 AS flips, abs(f.exposure + x.side * closing) < 1e-12 AS flat) k)
+SELECT account, ts, seq, round(price, 6) AS price, round(exposure, 6) AS exposure, round(pnl, 6) AS pnl FROM f WHERE i > 0""")
 
 
 def _streamed(s, d):

@@ -24,27 +24,15 @@ R.add("catalog_last_timestamp", lambda s, d: domain.trades(s, d).groupBy("instru
 
 
 def _files(s, d):
-    return domain.trades(s, d).withColumn("file", F.expr(f"ts div {HALF}")).where("account % 7 = 0")
+    return domain.trades(s, d).withColumn("file", F.expr(f"ts div {HALF}"))
 
 
-_FILES = f"files AS (SELECT instrument, ts // {HALF} AS file, min(ts) AS a, max(ts) AS b FROM trades WHERE account % 7 = 0 GROUP BY 1, 2)"
+_FILES = f"files AS (SELECT instrument, ts // {HALF} AS file, min(ts) AS a, max(ts) AS b FROM trades GROUP BY 1, 2)"
 R.add("catalog_intervals", lambda s, d: catalog.coverage(_files(s, d), ["instrument", "file"]), f"WITH {T}, {_FILES} SELECT instrument, file, a AS start, b AS \"end\" FROM files")
 R.add("catalog_missing_intervals", lambda s, d: catalog.missing(catalog.coverage(_files(s, d), ["instrument", "file"]).drop("file"), JAN10, JAN20, ["instrument"]),
       f"""WITH {T}, {_FILES}, c AS (SELECT instrument, a, b FROM files WHERE b >= {JAN10} AND a <= {JAN20} UNION ALL SELECT DISTINCT instrument, {JAN20} + 1, {JAN20} + 1 FROM files),
 g AS (SELECT instrument, greatest(coalesce(max(b) OVER (PARTITION BY instrument ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {JAN10} - 1), {JAN10} - 1) + 1 AS start, a - 1 AS "end" FROM c)
 SELECT instrument, start, "end" FROM g WHERE start <= "end\"""")
-
-
-def _all_files(s, d):
-    return domain.trades(s, d).withColumn("file", F.expr(f"ts div {HALF}"))
-
-
-_ALL_FILES = f"files AS (SELECT instrument, ts // {HALF} AS file, min(ts) AS a, max(ts) AS b FROM trades GROUP BY 1, 2)"
-R.add("catalog_intervals_all", lambda s, d: catalog.coverage(_all_files(s, d), ["instrument", "file"]), f"WITH {T}, {_ALL_FILES} SELECT instrument, file, a AS start, b AS \"end\" FROM files")
-R.add("catalog_missing_intervals_all", lambda s, d: catalog.missing(catalog.coverage(_all_files(s, d), ["instrument", "file"]).drop("file"), JAN10, JAN20, ["instrument"]),
-      f"""WITH {T}, {_ALL_FILES}, c AS (SELECT instrument, a, b FROM files WHERE b >= {JAN10} AND a <= {JAN20} UNION ALL SELECT DISTINCT instrument, {JAN20} + 1, {JAN20} + 1 FROM files),
-g AS (SELECT instrument, greatest(coalesce(max(b) OVER (PARTITION BY instrument ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {JAN10} - 1), {JAN10} - 1) + 1 AS start, a - 1 AS "end" FROM c)
-SELECT instrument, start, "end" FROM g WHERE start <= "end\"""")
 R.add("catalog_merge_streams", lambda s, d: replay.merged({"trade": domain.trades(s, d).select("ts", "seq", "price"), "quote": domain.quotes(s, d).select("ts", "seq", "bid")}, {"quote": False}).withColumn("place", F.row_number().over(W.partitionBy(F.expr(f"ts div {bars.DAY}")).orderBy("ts", "priority", "seq")).cast("long")).select("type", "ts", "seq", "priority", "place"),
       f"WITH {Q}, m AS (SELECT 'trade' AS type, ts, seq, 1 AS priority FROM trades UNION ALL SELECT 'quote', ts, seq, -2 FROM quotes) SELECT type, ts, seq, priority, row_number() OVER (PARTITION BY ts // {bars.DAY} ORDER BY ts, priority, seq) AS place FROM m")
 R.add("catalog_latest_client", lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("client")), "SELECT o_custkey, last(o_orderpriority ORDER BY o_orderdate, o_orderkey) AS client FROM orders GROUP BY 1")
@@ -170,15 +158,9 @@ def _as_orders(t):
     return t.select("instrument", F.col("seq").alias("order_id"), "ts", F.when(F.col("seq") % 2 == 0, 1).otherwise(-1).alias("side"), F.when(F.col("seq") % 3 == 0, "LIMIT").otherwise("STOP").alias("kind"), (F.col("price") + 30).alias("price"))
 
 
-def _limit_orders(s, d):
-    return _as_orders(domain.trades(s, d).where("seq % 97 = 0"))
-
-
-R.add("match_first_trigger", lambda s, d: replay.first_triggers(_limit_orders(s, d), domain.trades(s, d)),
-      f"""WITH {T}, o AS (SELECT instrument, seq AS order_id, ts, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END AS side, CASE WHEN seq % 3 = 0 THEN 'LIMIT' ELSE 'STOP' END AS kind, price + 30 AS price FROM trades WHERE seq % 97 = 0)
-SELECT o.instrument, order_id, min(t.ts) AS trigger_ts, round(first(t.price ORDER BY t.ts, t.seq), 6) AS trigger_px FROM o JOIN trades t ON t.instrument = o.instrument AND t.ts > o.ts AND CASE WHEN (kind = 'LIMIT') = (side = 1) THEN t.price <= o.price ELSE t.price >= o.price END GROUP BY 1, 2""")
-# every trade as an order; no SQL, as its inequality join meets all pairs: tests/test_whole.py has the brute force
-R.add("match_first_trigger_all", lambda s, d: replay.first_triggers(_as_orders(domain.trades(s, d)), domain.trades(s, d)))
+R.add("match_first_trigger", lambda s, d: replay.first_triggers(_as_orders(domain.trades(s, d)), domain.trades(s, d)),
+      f"""WITH {T}, o AS (SELECT instrument, seq AS order_id, ts, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END AS side, CASE WHEN seq % 3 = 0 THEN 'LIMIT' ELSE 'STOP' END AS kind, price + 30 AS price FROM trades)
+SELECT o.instrument, order_id, min(t.ts) AS trigger_ts, round(arg_min(t.price, (t.ts, t.seq)), 6) AS trigger_px FROM o JOIN trades t ON t.instrument = o.instrument AND t.ts > o.ts AND CASE WHEN (kind = 'LIMIT') = (side = 1) THEN t.price <= o.price ELSE t.price >= o.price END GROUP BY 1, 2""")
 R.add("throttle_3_per_day", lambda s, d: replay.throttled(domain.trades(s, d).select("account", "ts", "seq"), 3, bars.DAY, "account", ["ts", "seq"]).select("seq", "sent", "allowed"),
       f"""WITH RECURSIVE {T}, x AS (SELECT account, ts, seq, row_number() OVER (PARTITION BY account ORDER BY ts, seq) AS i FROM trades),
 f AS (SELECT account, seq, i, [ts] AS sent, true AS allowed FROM x WHERE i = 1 UNION ALL
