@@ -1,9 +1,11 @@
 """Queries over all rows against plain loops over all rows."""
 
+import random
+
 import pytest
 
 from tickloom.llm import licences
-from tickloom.operators import amm
+from tickloom.operators import amm, replay
 from tickloom.plans import catalogue
 from tickloom.sources import domain
 
@@ -61,3 +63,30 @@ def test_long_licence_expressions_are_read_whole():
     assert got["labels"] == "gpl,mit,mpl" and got["score"] == 1.0
     far = licences.scan(b"SPDX-License-Identifier: MIT " + b"word " * 100 + b"SPDX-License-Identifier: MPL-2.0", a)
     assert far["labels"] == "mit,mpl" and len(far["expressions"]) == 2
+
+
+def test_triggers_are_found_without_meeting_all_prices(spark, monkeypatch):
+    rng, names, nan = random.Random(6), ["a", "b", None], float("nan")
+    value = lambda: rng.choice([rng.uniform(0, 100), rng.uniform(0, 100), 50.0, -0.0, 0.0, nan, None])
+    prices = [(rng.choice(names), rng.choice([rng.randint(-900, 3000), 7, None]), i, value()) for i in range(1500)]
+    orders = [(rng.choice(names), i % 700, rng.choice([rng.randint(-900, 3000), 7, None]), rng.choice([1, -1, None]), rng.choice(["LIMIT", "STOP", None]), value()) for i in range(900)]
+    orders += [("a", 1000 + i, i, 1, "LIMIT", -5.0) for i in range(50)]  # never reached
+
+    def up(x):
+        return 1e300 if x != x else x  # NaN is above all
+
+    want: dict = {}
+    for name, order_id, ts, side, kind, level in orders:
+        if None in (name, ts, level):
+            continue
+        falls = None not in (side, kind) and (kind == "LIMIT") == (side == 1)
+        hit = [(t, seq, up(x)) for n, t, seq, x in prices if n == name and None not in (t, x) and t > ts and (up(x) <= up(level) if falls else up(x) >= up(level))]
+        if hit:
+            want[name, order_id] = min(hit + [want[name, order_id]] if (name, order_id) in want else hit)
+    o = spark.createDataFrame(orders, "instrument string, order_id long, ts long, side int, kind string, price double")
+    p = spark.createDataFrame(prices, "instrument string, ts long, seq long, price double")
+    for bucket, held in ((10**6, 10**6), (1000, 30), (90, 7)):
+        monkeypatch.setattr(replay, "HELD", held)
+        found = replay.first_triggers(o, p, bucket)
+        assert {(r.instrument, r.order_id): (r.trigger_ts, up(r.trigger_px)) for r in found.collect()} == {k: (t, x) for k, (t, _, x) in want.items()}
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
