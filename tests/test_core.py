@@ -189,3 +189,16 @@ def test_prices_at_the_ends_of_the_range():
     assert amm.sqrt_price_at(amm.MIN_TICK) == 4295128739
     assert amm.sqrt_price_at(amm.MAX_TICK) == 1461446703485210103287273052203988822378723970342
     assert amm.sqrt_price_at(1) == 79232123823359799118286999568
+
+
+def test_implied_vol_is_found_a_batch_at_a_time(spark):
+    rows = [(i, 80.0 + i % 41, 0.04, 0.02, 0.1 + i % 37 / 60, i % 3 == 0, 75.0 + i % 47, 0.1 + i % 24 / 12) for i in range(6000)]
+    o = spark.createDataFrame(rows, "id long, s double, r double, b double, vol double, call boolean, k double, t double")
+    g = pricing.black_scholes(*[F.col(c) for c in ("s", "r", "b", "vol", "call", "k", "t")])
+    found = o.select("*", g["price"].alias("price"), g["vega"].alias("vega")).where("vega > 0.02")
+    price = F.when(F.col("id") % 100 == 7, None).when(F.col("id") % 100 == 8, 1e6).when(F.col("id") % 100 == 9, 0.0).otherwise(F.col("price"))
+    out = found.select("id", "vol", pricing.implied_vol(price, *[F.col(c) for c in ("s", "r", "b", "call", "k", "t")]).alias("got"))
+    for r in out.collect():
+        assert r.got == 0.0 if r.id % 100 in (7, 8, 9) else abs(r.got - r.vol) < 1e-6
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambdafunction" not in plan  # the bisection is not interpreted row by row
