@@ -46,3 +46,24 @@ def test_models_that_travel_with_texts_give_the_same(spark, monkeypatch):
     want = _rows(quality.judge(docs))
     monkeypatch.setattr(quality, "SLOT_BYTES", 500)
     assert _same(_rows(quality.judge(docs, broadcast_bytes=0)), want)
+
+
+def test_other_letters_of_a_script_are_no_prose(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("абвгдежзий", k=rng.randint(2, 7))) for _ in range(60)]
+    prose = [" ".join(rng.choices(words, k=80)) for _ in range(40)]
+    # the same bytes but for bits that classes of bytes leave out, the letters in another order
+    junk = [t.translate({ord(c): ord(c) - 16 for c in "абвгдежзий"}) for t in prose[:1]]
+    shuffled = ["".join(rng.sample(t, len(t))) for t in prose[1:2]]
+    docs = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(prose + junk + shuffled)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert all(got[i].kept for i in range(40)) and not got[40].kept and not got[41].kept
+    assert got[40].log_perplexity > got[0].log_perplexity + 0.5
+
+
+def test_n_grams_are_whole_code_points():
+    low, high, size = quality.grams(["AЖ\t\n中--𝄞1".encode(), b"", "ж".encode()])
+    points = [0, 0, 0, 0, *map(ord, "aЖ 中-𝄞1 "), 0, 0, 0, 0, 32, 0, 0, 0, 0, ord("ж"), 32]
+    want = [points[i : i + 5] for i in (*range(8), 12, 17, 18)]
+    got = [[int(h) >> 21, int(h) & 0x1FFFFF, int(x) >> 42, int(x) >> 21 & 0x1FFFFF, int(x) & 0x1FFFFF] for x, h in zip(low, high, strict=True)]
+    assert got == want and size.tolist() == [8, 1, 2]

@@ -1,11 +1,13 @@
 """Operator 2, quality rules: an n-gram perplexity band for each language.
 
-A modified Kneser-Ney model of order 3 over 64 symbol classes (letters without case, digits,
-single punctuation marks, classes of UTF-8 bytes) is counted by Spark over all texts, one
-model for every language (null is one of its own), and stored as a table of arrays sorted by
-the 64-bit hash of the n-gram, at most ``64**3`` a language. Models of ``BROADCAST_BYTES`` in
-all are broadcast; larger ones are dealt to partitions with their language's texts, in as many
-slots as a language has text for, each slot's model before its texts. A text has two figures: the log perplexity of all
+A modified Kneser-Ney model of order 5 over whole code points (A-Z lower-cased, white space one
+symbol, runs of one mark cut to one) is counted by Spark over all texts, two models for every
+language (null is one of its own), and stored as arrays sorted by the 64-bit hash of the n-gram,
+for each distinct n-gram of the texts. Each learns from half the language's distinct texts and
+scores the others, so no text is foretold by itself. A model's n-grams meet in one worker when it
+is made. Models of ``BROADCAST_BYTES`` in all are broadcast; larger ones are dealt to partitions with
+their language's texts, in as many slots as a language has text for, each slot's model before its
+texts. A text has two figures: the log perplexity of all
 its symbols, and the median over its blocks of ``BLOCK`` symbols, which a foreign passage does
 not move. It is rejected if both lie above (or both below) [q1 - width * iqr, q3 + width * iqr]
 of their language, quartiles being taken over all texts that pass the base rules.
@@ -14,7 +16,7 @@ Base rules: see ``op2_quality_rules``. Windows are found by 64-bit hashes withou
 every text in which some hash repeats is counted again from its words, so results are exact.
 
 Edge cases: a null or empty text has no words and fails the base rules; a language whose
-texts all fail has no band and rejects nothing more; repeated rows get equal rows; an empty
+texts all fail, or with one text, has no band and rejects nothing more; repeated rows get equal rows; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -24,7 +26,6 @@ import pickle
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +33,12 @@ from pyspark.sql import types as T
 
 from tickloom.llm.common import map_batches, mix64, span_hashes, steps, stored, utf8
 
-ORDER = 3
+#: Symbols of an n-gram; bits of a code point.
+ORDER, POINT_BITS = 5, 21
 #: Models of more bytes in all travel with their language's texts in place of a broadcast; results are the same.
 BROADCAST_BYTES = 64 << 20
-#: Text of one slot, at least; languages that a task holds counts or log probabilities of at once (more are counted or looked up again).
-SLOT_BYTES, HELD = 256 << 10, 32
+#: Text of one slot, at least; distinct n-grams that a task holds before it sends their counts.
+SLOT_BYTES, HELD = 256 << 10, 1 << 21
 #: Words of a repeated window, as the contract fixes it.
 WINDOW = 8
 #: Quartile ranges that a band reaches beyond the quartiles.
@@ -63,7 +65,7 @@ CLASSES = _classes()
 
 
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram codes (18 bits) of all texts, each preceded by two blanks and followed by one, and their counts.
+    """Trigram codes (18 bits) over classes of bytes, an alphabet small enough to sum over; the query's are those of ``grams``.
 
     A run of one white-space or mark class counts as one symbol, so that long runs, which are easy to foretell, don't pay for where they stand.
     """
@@ -84,47 +86,102 @@ def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return tri[keep], size
 
 
-def _hash(order: int, code: np.ndarray) -> np.ndarray:
-    return mix64(code.astype(np.uint64) | np.uint64(order << 40))
+def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of all texts' code points as two integers (the last three, those before), and how many each text has.
+
+    A text is preceded by order - 1 zeros and followed by a blank. A-Z are lower-cased, white space is a blank, and a run of one
+    mark or of blanks counts as one symbol, so that long runs, which are easy to foretell, don't pay for where they stand.
+    """
+    pad = "\0" * (order - 1)
+    plain = [t.decode("utf-8", "replace") for t in texts]
+    data = np.frombuffer("".join([pad + t + " " for t in plain]).encode("utf-32-le"), np.uint32).astype(np.int64)
+    kind = CLASSES[np.minimum(data, 127)]
+    data = np.where(kind == 0, 32, np.where((data >= 65) & (data <= 90), data + 32, data))
+    end = np.cumsum([len(t) + order for t in plain])
+    once = np.ones(len(data), bool)
+    once[1:] = (data[1:] != data[:-1]) | ((kind[1:] > 0) & (kind[1:] < 28)) | (data[1:] > 127)
+    begin = np.append(0, end[:-1])
+    for k in range(order):  # the zeros and what follows
+        once[begin + k] = True
+    end = np.cumsum(once)[end - 1]
+    data = data[once]
+    n = len(data) - order + 1
+    low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for k in range(order):
+        into = low if k >= order - 3 else high
+        into <<= POINT_BITS
+        into |= data[k : k + n]
+    keep = np.ones(n, bool)
+    for k in range(1, order):  # n-grams across two texts
+        keep[end[:-1] - k] = False
+    return low[keep], high[keep], np.diff(end, prepend=0) - order + 1
+
+
+def _hash(order: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return mix64(low.astype(np.uint64) ^ mix64(high.astype(np.uint64) | np.uint64(order << 56)))
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes (ascending), a place of each, the number of each place's hash, and how often each stands (np.unique sorts stably, which takes longer)."""
+    o = np.argsort(h)
+    ordered = h[o]
+    new = np.ones(len(h), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    start, of = np.flatnonzero(new), np.empty(len(h), np.int64)
+    of[o] = np.cumsum(new) - 1
+    return ordered[start], o[start], of, np.diff(np.append(start, len(h)))
+
+
+def _suffix(low: np.ndarray, high: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last n symbols."""
+    return low & ((1 << bits * min(n, 3)) - 1), high & ((1 << bits * max(n - 3, 0)) - 1)
+
+
+def _context(low: np.ndarray, high: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols but the last."""
+    return (low >> bits) | ((high & ((1 << bits) - 1)) << 2 * bits), high >> bits
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the wanted keys (0 if there is none), and which there are; ``keys`` ascend."""
+    if not len(keys):
+        return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return np.where(hit, values[at], 0.0), hit
 
 
 @dataclass
 class KneserNey:
-    """For each order the n-grams' hashes (ascending) with log probability and, but for the longest, log back-off weight."""
+    """For each order the n-grams' hashes (ascending) and log probabilities, and their contexts' hashes and log back-off weights."""
 
+    bits: int
     hashes: list[np.ndarray]
     logp: list[np.ndarray]
+    contexts: list[np.ndarray]
     backoff: list[np.ndarray]
 
-    def find(self, order: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, h = self.hashes[order - 1], _hash(order, code)
-        if not len(keys):
-            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return at, keys[at] == h
-
-    def logprob(self, tri: np.ndarray) -> np.ndarray:
-        """Natural log of p(last symbol | two before) of distinct trigram codes."""
-        at, hit = self.find(3, tri)
-        out = np.where(hit, self.logp[2][at] if len(self.logp[2]) else 0.0, 0.0)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            t = tri[miss]
-            at, known = self.find(2, t >> 6)
-            weight = np.where(known, self.backoff[1][at] if len(self.backoff[1]) else 0.0, 0.0)
-            at2, hit2 = self.find(2, t & 4095)
-            low = np.where(hit2, self.logp[1][at2] if len(self.logp[1]) else 0.0, 0.0)
-            far = np.flatnonzero(~hit2)
-            if len(far):
-                f = t[far]
-                at1, known1 = self.find(1, (f >> 6) & 63)
-                w1 = np.where(known1, self.backoff[0][at1] if len(self.backoff[0]) else 0.0, 0.0)
-                at0, hit0 = self.find(1, f & 63)
-                low[far] = w1 + np.where(hit0, self.logp[0][at0] if len(self.logp[0]) else 0.0, -np.log(64))
-            out[miss] = weight + low
+    def logprob(self, low: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of p(last symbol | those before) of n-grams."""
+        high = np.zeros(len(low), np.int64) if high is None else high
+        low = low.astype(np.int64)
+        out, todo = np.zeros(len(low)), np.arange(len(low))
+        for k in range(len(self.hashes), 0, -1):
+            low, high = _suffix(low, high, k, self.bits)
+            value, hit = _found(self.hashes[k - 1], self.logp[k - 1], _hash(k, low, high))
+            out[todo] += value
+            todo, low, high = todo[~hit], low[~hit], high[~hit]
+            if not len(todo):
+                break
+            out[todo] += _found(self.contexts[k - 1], self.backoff[k - 1], _hash(k - 1, *_context(low, high, self.bits)))[0]
+        out[todo] -= np.log(_alphabet(self.bits))
         return out
 
 
+def _alphabet(bits: int) -> int:
+    return 0x110000 if bits == POINT_BITS else 1 << bits
+
+
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """Discounts for counts 1, 2 and 3 or more, from the counts of counts."""
     n = [float((counts == k).sum()) for k in range(1, 5)]
@@ -135,79 +192,86 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.array(d), [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.8])
 
 
-def kneser_ney(tri: np.ndarray, count: np.ndarray) -> KneserNey:
-    """Modified Kneser-Ney of order 3: trigram counts give the highest order, continuation counts the lower ones."""
-    tri, count = tri.astype(np.int64), count.astype(np.float64)
-    bi, bi_count = np.unique(tri & 4095, return_counts=True)  # left contexts of each bigram
-    uni, uni_count = np.unique(bi & 63, return_counts=True)
-
-    def level(code: np.ndarray, c: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Interpolated probabilities; contexts and their back-off weights."""
-        ctx = code >> 6
-        d = _discounts(c)
-        cut = d[np.minimum(c, 3).astype(int)]
-        names, of = np.unique(ctx, return_inverse=True)
+def kneser_ney(low: np.ndarray, count: np.ndarray, high: np.ndarray | None = None, order: int = 3, bits: int = 6) -> KneserNey:
+    """Modified Kneser-Ney of distinct n-grams: their counts give the highest order, continuation counts the lower ones."""
+    low, count = low.astype(np.int64), count.astype(np.float64)
+    high = np.zeros(len(low), np.int64) if high is None else high.astype(np.int64)
+    levels, suffix = [(low, high, count)], []
+    for k in range(order - 1, 0, -1):  # of each (k + 1)-gram its last k symbols: their left contexts are counted
+        x, y = _suffix(levels[-1][0], levels[-1][1], k, bits)
+        _, first, of, n = _distinct(_hash(k, x, y))
+        levels.append((x[first], y[first], n.astype(np.float64)))
+        suffix.append(of)
+    model = KneserNey(bits, [], [], [], [])
+    p = np.full(1, 1 / _alphabet(bits))
+    for k, (x, y, c) in enumerate(reversed(levels), 1):
+        names, _, of, _ = _distinct(_hash(k - 1, *_context(x, y, bits)))
+        cut = _discounts(c)[np.minimum(c, 3).astype(int)]
         total = np.bincount(of, c)
         gamma = np.bincount(of, cut) / total
-        return (c - cut) / total[of] + gamma[of] * lower, names, gamma
-
-    symbols = len(CLASSES) and 64
-    d1 = _discounts(uni_count)
-    cut1 = d1[np.minimum(uni_count, 3)]
-    total1 = uni_count.sum()
-    p1 = (uni_count - cut1) / total1 + cut1.sum() / total1 / symbols
-    rest1 = cut1.sum() / total1 / symbols
-
-    def p1_of(code: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(uni, code), len(uni) - 1)
-        return np.where(uni[at] == code, p1[at], rest1)
-
-    p2, ctx2, gamma2 = level(bi, bi_count.astype(np.float64), p1_of(bi & 63))
-    p2_at = np.searchsorted(bi, tri & 4095)
-    p3, ctx3, gamma3 = level(tri, count, p2[p2_at])
-
-    def arrays(order: int, code: np.ndarray, p: np.ndarray, ctx: np.ndarray | None, gamma: np.ndarray | None):
-        if ctx is None:
-            w = np.zeros(len(code))
-        else:  # contexts that are no n-gram of this order themselves join with their back-off estimate's weight
-            extra = np.setdiff1d(ctx, code)
-            code, p = np.concatenate([code, extra]), np.concatenate([p, np.full(len(extra), np.nan)])
-            w = np.zeros(len(code))
-            by = np.argsort(ctx)
-            at = np.minimum(np.searchsorted(ctx[by], code), len(ctx) - 1)
-            hit = ctx[by][at] == code
-            w[hit] = np.log(gamma[by][at][hit])
-        h = _hash(order, code)
+        p = (c - cut) / total[of] + gamma[of] * (p[suffix[order - k]] if k > 1 else p[0])
+        h = _hash(k, x, y)
         o = np.argsort(h)
-        return h[o], np.log(p[o]), w[o]
+        model.hashes.append(h[o])
+        model.logp.append(np.log(p[o]).astype(np.float32))
+        model.contexts.append(names)
+        model.backoff.append(np.log(gamma).astype(np.float32))
+    return model
+
+
+class Counts:
+    """How often each n-gram was met."""
 
-    # a context that never ends a longer n-gram has no probability of its own: give it the lower order's
-    one = arrays(1, np.arange(64), np.maximum(p1_of(np.arange(64)), 1e-12), ctx2, gamma2)
-    extra = np.setdiff1d(ctx3, bi)
-    g2 = dict(zip(ctx2.tolist(), gamma2.tolist(), strict=True))
-    more = np.array([g2.get(int(c) >> 6, 1.0) for c in extra]) * p1_of(extra & 63) if len(extra) else np.zeros(0)
-    two = arrays(2, np.concatenate([bi, extra]), np.concatenate([p2, more]), ctx3, gamma3)
-    three = arrays(3, tri, p3, None, None)
-    return KneserNey([one[0], two[0], three[0]], [one[1], two[1], three[1]], [one[2], two[2], three[2]])
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.rows = self.merged = 0
+
+    def add(self, low: np.ndarray, high: np.ndarray) -> None:
+        h, first, _, n = _distinct(_hash(ORDER, low, high))
+        self.parts.append((h, low[first], high[first], n))
+        self.rows += len(h)
+        if self.rows > 2 * self.merged + (1 << 18):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, ...]:
+        h, low, high, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        h, first, of, _ = _distinct(h)
+        self.parts = [(h, low[first], high[first], np.bincount(of, n).astype(np.int64))]
+        self.rows = self.merged = len(h)
+        return self.parts[0]
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``m``, the name of the language's model; null has the empty name."""
-    return docs.select("doc_id", F.when(F.col("lang").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("lang"))).alias("m"), "text")
+    """doc_id, text, ``own``, the name of the model that learns from the text, and ``m``, that of the one that scores it.
+
+    A language (null too) has two models, each of half its distinct texts by their hash; a text is scored by the half it is not in.
+    """
+    lang = F.when(F.col("lang").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("lang")))
+    half = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(2)), F.lit(0))
+    return docs.select("doc_id", F.concat(half.cast("string"), lang).alias("own"), F.concat((1 - half).cast("string"), lang).alias("m"), "text")
+
+
+def _other(m: str) -> F.Column:
+    """The name of the language's other model."""
+    return F.concat((1 - F.substring(m, 1, 1).cast("int")).cast("string"), F.expr(f"substring({m}, 2)"))
 
 
 def models(docs: DataFrame) -> DataFrame:
     """m, bytes of its texts and the model (pickled), for each m that has text."""
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str, Counts] = {}
         size: dict[str, int] = {}
 
         def flush():
             for m, c in sums.items():
-                at = np.flatnonzero(c)
-                code, n = np.concatenate([[-1], at]), np.concatenate([[size[m]], c[at]])  # code -1: bytes of text
-                yield pa.RecordBatch.from_arrays([pa.array([m] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], names=["m", "code", "n"])
+                _, low, high, n = c.merge()
+                o = np.lexsort((low, high))  # neighbours are alike, which makes the shuffle smaller
+                low, high, n = np.append(low[o], -1), np.append(high[o], -1), np.append(n[o], size[m])  # n-gram -1: bytes of text
+                for a in range(0, len(n), 50_000):
+                    s = slice(a, a + 50_000)
+                    names = pa.array([m], pa.string()).take(pa.array(np.zeros(len(n[s]), np.int8)))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(low[s]), pa.array(high[s]), pa.array(n[s])], names=["m", "low", "high", "n"])
             sums.clear()
             size.clear()
 
@@ -219,26 +283,28 @@ def models(docs: DataFrame) -> DataFrame:
                     if t:
                         by.setdefault(m, []).append(t)
                 for m, own in by.items():
-                    if m not in sums and len(sums) >= HELD:
-                        yield from flush()
-                    got = np.bincount(codes(own)[0], minlength=1 << 18)
-                    sums[m] = sums[m] + got if m in sums else got
+                    low, high, _ = grams(own)
+                    sums.setdefault(m, Counts()).add(low, high)
                     size[m] = size.get(m, 0) + sum(map(len, own))
+                if sum(c.rows for c in sums.values()) > HELD:
+                    yield from flush()
         yield from flush()
 
-    def fit(rows):
-        rows = rows.sort_values("code")
-        code, n = rows["code"].to_numpy(), rows["n"].to_numpy()
-        return pd.DataFrame({"m": [rows["m"].iloc[0]], "bytes": [int(n[0])], "model": [pickle.dumps(kneser_ney(code[1:], n[1:]))]})
+    def fit(rows: pa.Table) -> pa.Table:
+        low, high, n = (rows.column(c).to_numpy() for c in ("low", "high", "n"))
+        o = np.lexsort((low, high))
+        low, high, n = low[o], high[o], n[o]
+        model = kneser_ney(low[1:], n[1:], high[1:], ORDER, POINT_BITS)
+        return pa.table({"m": rows.column("m")[:1], "bytes": [int(n[0])], "model": [pickle.dumps(model)]})
 
-    counted = docs.select("m", "text").mapInArrow(count, "m string, code int, n long").groupBy("m", "code").agg(F.sum("n").alias("n"))
-    return counted.groupBy("m").applyInPandas(fit, "m string, bytes long, model binary")
+    counted = docs.select("m", "text").mapInArrow(count, "m string, low long, high long, n long").groupBy("m", "low", "high").agg(F.sum("n").alias("n"))
+    return counted.groupBy("m").applyInArrow(fit, "m string, bytes long, model binary")
 
 
 def dealt(docs: DataFrame, made: DataFrame) -> DataFrame:
     """Rows (m, model, doc_id, text) in partitions by m and slot, in each the model (doc null) before the texts it is for."""
     most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = made.select("m", F.least(F.lit(most), F.ceil(F.col("bytes") / SLOT_BYTES)).cast("int").alias("slots"))
+    slots = made.select(_other("m").alias("m"), F.least(F.lit(most), F.ceil(F.col("bytes") / SLOT_BYTES)).cast("int").alias("slots"))
     wide = slots.where("slots > 1")  # as many rows as the texts have SLOT_BYTES, at most
     rows = docs.join(F.broadcast(wide), "m", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
     rows = rows.select("m", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.col("slots")).cast("int").alias("slot"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("model"), "doc_id", "text")
@@ -320,7 +386,7 @@ def base_rules(texts: list[bytes]) -> dict[str, np.ndarray]:
 def judge(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, the base counts, base_failed, log_perplexity, the language's band and kept, a row for each document."""
     docs = named(docs)
-    table = stored(models(docs), "quality-models")
+    table = stored(models(docs.select(F.col("own").alias("m"), "text")), "quality-models")
     small = (table.agg(F.sum(F.length("model") + F.length("m"))).first()[0] or 0) <= broadcast_bytes
     made = docs.sparkSession.sparkContext.broadcast({r["m"]: pickle.loads(r["model"]) for r in table.collect()} if small else None)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -328,7 +394,6 @@ def judge(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
 
     def make():
         by = made.value or {}
-        cached: dict[str, np.ndarray] = {}
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             if not small:
@@ -345,14 +410,11 @@ def judge(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
                     if texts[i]:
                         at_of.setdefault(names[i], []).append(i)
                 for m, at in at_of.items():
-                    tri, size = codes([texts[i] for i in at])
-                    if m not in cached and len(cached) >= HELD:
-                        del cached[next(iter(cached))]
-                    known = cached.setdefault(m, np.full(1 << 18, np.nan)) if m not in cached else cached[m]
-                    new = np.flatnonzero((np.bincount(tri, minlength=1 << 18) > 0) & np.isnan(known))
-                    if len(new):
-                        known[new] = by[m].logprob(new)
-                    value = -known[tri]
+                    if m not in by:  # no other text to learn from
+                        continue
+                    low, high, size = grams([texts[i] for i in at])
+                    _, first, of, _ = _distinct(_hash(ORDER, low, high))
+                    value = -by[m].logprob(low[first], high[first])[of]
                     score[at] = np.add.reduceat(value, np.cumsum(size) - size) / size
                     middle[at] = block_medians(value, size)
             cols = [batch.column(0), batch.column(1)] + [pa.array(np.concatenate(parts[c]).astype(np.int64)) if parts[c] else pa.array([], pa.int64()) for c in counts] + [pa.array(x, from_pandas=True) for x in (score, middle)]
@@ -376,13 +438,13 @@ def judge(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = stored(scored.withColumn("base_failed", failed), "quality")
     figures = ["log_perplexity", "block_perplexity"]
-    bands = scored.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull()).groupBy("m").agg(*[F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in figures])
+    bands = scored.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull()).groupBy(F.expr("substring(m, 2)").alias("m")).agg(*[F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in figures])
     edges = [F.col("m").alias("bm")]
     for c in figures:
-        reach = (F.col(c)[1] - F.col(c)[0]) * BAND_WIDTH
+        reach = (F.col(c)[1] - F.col(c)[0]) * BAND_WIDTH + 1e-9  # sums differ in their last bits
         edges += [(F.col(c)[0] - reach).alias(f"{c}_low"), (F.col(c)[1] + reach).alias(f"{c}_high")]
     bands = stored(bands.select(*edges), "quality-bands")
-    out = scored.join(F.broadcast(bands) if bands.count() <= 100_000 else bands, F.col("m") == F.col("bm"), "left")
+    out = scored.join(F.broadcast(bands) if bands.count() <= 100_000 else bands, F.expr("substring(m, 2)") == F.col("bm"), "left")
     above = F.lit(True)
     below = F.lit(True)
     for c in figures:
