@@ -140,3 +140,16 @@ def test_sketches_never_lose_a_link():
                 assert J._may_link(J._sketch(x), J._sketch(y), len(x) + len(y)) and J._may_link(J._sketch(y), J._sketch(x), len(x) + len(y))
         z = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
         assert size < 40 or not J._may_link(J._sketch(x), J._sketch(z), len(x) + len(z))
+
+
+def test_buckets_that_share_a_centre_are_settled_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    common = [f"c{i}" for i in range(320)]
+    texts = [" ".join(common + [f"d{k}x{i}" for i in range(110)]) for k in range(40)]
+    texts.append(" ".join(texts[7].split()[:-3]))  # the one that links
+    docs = spark.createDataFrame([(int(i), texts[i]) for i in rng.permutation(len(texts))], "doc_id long, text string")
+    made, pairs = [], J._pairs
+    monkeypatch.setattr(J, "_pairs", lambda rows, rule: made.append(rows.agg({"strays": "sum"}).first()[0] or 0) or pairs(rows, rule))
+    got = {r.doc_id: r.component_id for r in J.op10_jaccard_join(docs, rule=J.STAGE).collect()}
+    assert got == {i: 7 if i == 40 else i for i in range(41)}
+    assert sum(made) <= 2 * 41 * 110  # about the rows that index all sets anew under two centres; buckets that decided alone made 21754 pairs

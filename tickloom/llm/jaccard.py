@@ -15,14 +15,15 @@ whose frequent signatures (more than FREQUENT sets) weigh e at most leaves those
 
 Signatures travel in packed blocks, sorted and delta-coded. A bucket never emits its pairs. Its
 centre (the set that most buckets hold) is paired with the others; sizes, then sketches, then the
-words decide, and components are formed. A bucket that then has no more sets outside its
-largest component than H (``SMALL`` at least) is settled pair by pair. Any other is indexed anew by what its sets don't share with
+words decide, and components are formed. A bucket that then has no more than ``SMALL`` sets outside its
+largest component is settled pair by pair, and so are all buckets of a centre if that makes no more pairs than
+indexing their distinct sets anew makes rows. Any other is indexed anew by what its sets don't share with
 the centre c: for sets x and m with differences X and M from c, |x ^ m| = |X ^ M|, so a link of
 sets that are not both linked with c needs |X & M| >= t = (|X| + |M| - H) / 2 >= 1, and a prefix of
 |X| - t + 1 members of X (rare ones first) holds one of M's. So sets that share only what the
 centre has too, however many, never meet. The new buckets go the same way with centres of their
 own, until all pairs across components that are left are at most ``SMALL`` times the members of
-the first buckets (or ``LEVELS`` times); these are verified. Nothing is capped.
+the first buckets and no more than such rows (or ``LEVELS`` times); these are verified. Nothing is capped.
 
 Sets are known by a 64-bit hash of their shingles' hashes, so exact copies meet first, whatever
 their number. Texts are moved only for sets that share a bucket, one text a set.
@@ -71,7 +72,7 @@ QUERY, STAGE = Rule(4, 85), Rule(5, 80)
 FREQUENT = 64
 #: Signatures a partition of the index holds, about; documents of one packed block.
 PARTITION_ROWS, BLOCK_DOCS = 400_000, 4096
-#: Sets outside the largest component of a bucket that is settled pair by pair, at least (at most as many as the rows that would index a set anew); how often others are indexed anew.
+#: Sets outside the largest component of a bucket that is settled pair by pair, at least (more if its centre's buckets make no more pairs than rows that index their sets anew); how often others are indexed anew.
 SMALL, LEVELS = 4, 6
 #: Sets of a centre by which the order of their differences from it is made, and members it knows (any order gives the same result).
 SAMPLE, COMMON = 48, 1024
@@ -566,16 +567,16 @@ def _members(blocks: DataFrame, parts: int, frequent: int) -> DataFrame:
 
 
 def _open(work: DataFrame) -> DataFrame:
-    """The buckets of (key, sid, probe, n, comp) in which a link could still join components, with ``most``, the largest n.
+    """The buckets of (key, sid, probe, n, comp) in which a link could still join components.
 
     Every pair that matters has a set outside the largest component and one that is no probe: the fewer of both are ``first`` sets, ``strays`` of them.
     """
-    parts = work.groupBy(F.col("key").alias("k"), "comp").agg(F.count("*").alias("of"), F.count_if(~F.col("probe")).alias("full"), F.max("n").alias("n"))
+    parts = work.groupBy(F.col("key").alias("k"), "comp").agg(F.count("*").alias("of"), F.count_if(~F.col("probe")).alias("full"))
     outside = F.sum("of") - F.max("of")
-    state = parts.groupBy("k").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("of", "comp")).alias("main"), outside.alias("outside"), F.sum("full").alias("full"), F.max("n").alias("most"))
+    state = parts.groupBy("k").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("of", "comp")).alias("main"), outside.alias("outside"), F.sum("full").alias("full"))
     out = work.join(state.where("comps > 1 AND full > 0"), F.col("key") == F.col("k"))
     first = F.when(F.col("outside") <= F.col("full"), F.col("comp") != F.col("main")).otherwise(~F.col("probe"))
-    return out.select(*work.columns, F.least("outside", "full").alias("strays"), "most", first.alias("first"))
+    return out.select(*work.columns, F.least("outside", "full").alias("strays"), first.alias("first"))
 
 
 def _pairs(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -612,14 +613,21 @@ def _linked(work: DataFrame, texts: DataFrame, rule: Rule, frequent: int = FREQU
         rows = stored(_open(_with_component(work.where("sid <> centre"), comps, "sid", "comp")), "open")
         if not level:
             budget = SMALL * work.count()
-        all_now = level == LEVELS or (rows.agg(F.sum("strays")).first()[0] or 0) <= budget  # strays of each row's bucket: all pairs across components
-        few = F.lit(True) if all_now else F.col("strays") <= F.greatest(F.lit(SMALL), F.floor(F.col("most") * ((100 - rule.percent) / rule.percent)))
+        # buckets that share a centre hold much the same sets, which are indexed once: together they decide
+        anew = F.floor(F.col("n") * ((100 - rule.percent) / rule.percent)) + 1  # signatures that index a set anew, at most
+        made = rows.groupBy(F.col("centre").alias("c")).agg(F.sum("strays").alias("pairs"))  # strays of each row's bucket: all pairs across components
+        index = rows.select("centre", "sid", "n").distinct().groupBy(F.col("centre").alias("i")).agg(F.sum(anew).alias("anew"))
+        made = stored(made.join(index, F.col("c") == F.col("i")).select("c", "pairs", "anew"), "costs")
+        pairs, signatures_anew = made.agg(F.sum("pairs"), F.sum("anew")).first()
+        all_now = level == LEVELS or (pairs or 0) <= min(budget, signatures_anew or 0)
+        rows = rows.join(made.select("c", (F.col("pairs") <= F.col("anew")).alias("settled")), F.col("centre") == F.col("c")).drop("c")
+        few = F.lit(True) if all_now else (F.col("strays") <= SMALL) | F.col("settled")
         grown(_pairs(rows.where(few), rule))
         if all_now:
             break
-        rows = _open(_with_component(rows.where(~few).drop("comp", "strays", "most", "first"), comps, "sid", "comp"))
+        rows = _open(_with_component(rows.where(~few).drop("comp", "strays", "first", "settled"), comps, "sid", "comp"))
         rows = stored(rows.select("centre", "sid", "n").distinct(), "crowded")
-        expected = rows.agg(F.sum(F.floor(F.col("n") * ((100 - rule.percent) / rule.percent)) + 1)).first()[0] or 0
+        expected = rows.agg(F.sum(anew)).first()[0] or 0
         parts = int(max(16, -(-expected // PARTITION_ROWS)))
         size = rows.select(F.col("sid").alias("s"), "n").distinct()
         work = _members(refined(rows.select("centre", "sid"), texts, rule, parts), parts, frequent).join(size, F.col("sid") == F.col("s"))
